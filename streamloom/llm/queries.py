@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash, tokenids
-from .common import table
+from . import decontam, simhash, tokenids, toxicity
+from .common import held_out, table
 
 #: The tokenizer of op8 and the id that ends a document.
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -60,6 +67,7 @@ from w left join cover using (doc_id) left join items using (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op8_tokenids": op8_tokenids,
     "op10_decontam": op10_decontam,
