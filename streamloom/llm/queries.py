@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash, tokenids, toxicity
+from . import decontam, langid, simhash, tokenids, toxicity
 from .common import held_out, table
 
 #: The tokenizer of op8 and the id that ends a document.
@@ -15,6 +15,12 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +73,7 @@ from w left join cover using (doc_id) left join items using (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op8_tokenids": op8_tokenids,
