@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, simhash, tokenids, toxicity
+from . import decontam, fingerprint, langid, simhash, tokenids, toxicity
 from .common import held_out, table
 
 #: The tokenizer of op8 and the id that ends a document.
@@ -15,6 +15,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs))
@@ -73,6 +77,7 @@ from w left join cover using (doc_id) left join items using (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
