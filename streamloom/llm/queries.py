@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, simhash, tokenids, toxicity
+from . import decontam, fingerprint, langid, mixing, simhash, tokenids, toxicity
 from .common import held_out, table
 
 #: The tokenizer of op8 and the id that ends a document.
@@ -53,6 +53,56 @@ def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: The mixture of op9: which domain a source belongs to, by the last character of its name; whole-number weights (1 where none is named).
+DOMAINS = {"web": "01234", "books": "567", "code": "89"}
+WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 1, "other": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
+#: Share of all tokens, and how often a document may come.
+BUDGET, EPOCHS, SEED = (6, 10), 2, 42
+
+
+def domain_of(source: Column) -> Column:
+    out, last = F.lit("other"), F.substring(source, -1, 1)
+    for name, ends in DOMAINS.items():
+        out = F.when(last.isin(*ends), name).otherwise(out)
+    return out
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.measured(table(spark, sf_dir, "documents"), domain_of(F.col("source")))
+    planned = mixing.plan(rows, WEIGHTS, *BUDGET, EPOCHS, SEED)
+    return mixing.mix(rows, planned, SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "budget", "copies")
+
+
+def _share_sql(nodes: str, parent: str, name: str) -> str:
+    """The children's parts of a budget, as mixing.share describes; nodes has cap, weight and budget."""
+    order = f"partition by {parent} order by cap / weight, {name}"
+    return f"""(select *, case when f then cap else (upto * rest) // greatest(open, 1) - ((upto - weight) * rest) // greatest(open, 1) end as got from (
+      select *, budget - sum(case when f then cap else 0 end) over (partition by {parent}) as rest, sum(case when f then 0 else weight end) over (partition by {parent}) as open,
+             sum(case when f then 0 else weight end) over ({order} rows between unbounded preceding and current row) as upto from (
+        select *, cap * sum(weight) over ({order} rows between current row and unbounded following)
+                  <= weight * (budget - coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0)) as f from {nodes})))"""
+
+
+def _weight_sql(level: str) -> str:
+    return "case " + "".join(f"when {level} = '{k}' then {v} " for k, v in WEIGHTS[level].items()) + "else 1 end"
+
+
+_DOMAIN_SQL = "case " + "".join(f"when right(source, 1) in ({', '.join(repr(c) for c in ends)}) then '{k}' " for k, ends in DOMAINS.items()) + "else 'other' end"
+
+OP9_SQL = rf"""
+with d as (select doc_id, {_DOMAIN_SQL} as domain, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents),
+leaf as (select domain, lang, source, sum(n_tokens) as tokens, sum(n_tokens) * {EPOCHS} as cap from d group by all),
+l1 as (select domain, got from {_share_sql(f"(select domain, sum(cap) as cap, {_weight_sql('domain')} as weight, (select least(sum(tokens) * {BUDGET[0]} // {BUDGET[1]}, sum(cap)) from leaf) as budget from leaf group by domain)", "1", "domain")}),
+l2 as (select domain, lang, got from {_share_sql(f"(select leaf.domain, lang, sum(cap) as cap, {_weight_sql('lang')} as weight, any_value(got) as budget from leaf join l1 using (domain) group by leaf.domain, lang)", "domain", "lang")}),
+l3 as (select domain, lang, source, tokens, got from {_share_sql(f"(select domain, lang, source, tokens, cap, {_weight_sql('source')} as weight, got as budget from leaf join l2 using (domain, lang))", "domain, lang", "source")}),
+want as (select *, case when tokens > 0 then got // tokens else 0 end as whole from l3),
+o as (select d.*, got, whole, got - whole * tokens as rest, md5(concat_ws('|', '{SEED}', whole::bigint::varchar, doc_id::varchar)) as o from d join want using (domain, lang, source)),
+c as (select *, sum(n_tokens) over (partition by domain, lang, source order by o, doc_id) as upto from o)
+select doc_id, domain, lang, source, n_tokens, got::bigint as budget, (whole + case when rest > 0 and upto <= rest then 1 else 0 end)::bigint as copies from c
+"""
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
@@ -82,9 +132,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op8_tokenids": op8_tokenids,
+    "op9_mixing": op9_mixing,
     "op10_decontam": op10_decontam,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_mixing": OP9_SQL,
     "op10_decontam": OP10_SQL,
 }
