@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, mixing, simhash, tokenids, toxicity
+from . import decontam, fingerprint, langid, linededup, mixing, simhash, tokenids, toxicity
 from .common import held_out, table
 
 #: The tokenizer of op8 and the id that ends a document.
@@ -37,6 +37,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def word_tokens(path: str | None = None):
     """Makes the encoder of op8 on the worker that runs it."""
 
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_linededup": op7_linededup,
     "op8_tokenids": op8_tokenids,
     "op9_mixing": op9_mixing,
     "op10_decontam": op10_decontam,
