@@ -51,3 +51,18 @@ def held_out(doc_id: Column) -> Column:
 def row_key(text: Column) -> Column:
     """Tells rows apart that share an id but not a text."""
     return F.xxhash64(text, F.length(text))
+
+
+#: Buckets in which `split_by_keys` marks keys.
+FILTER_BUCKETS = 1 << 20
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have their `columns` in `keys`, rows that surely have not), without moving a row of `df`.
+
+    Keys are marked in FILTER_BUCKETS buckets; the list of marked buckets is bounded, so it goes to every task.
+    """
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BUCKETS))
+    marked = F.broadcast(keys.select(bucket.alias("_bucket")).distinct())
+    with_bucket = df.withColumn("_bucket", bucket)
+    return tuple(with_bucket.join(marked, "_bucket", how).drop("_bucket") for how in ("left_semi", "left_anti"))

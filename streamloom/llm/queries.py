@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, licenses, linededup, mixing, simhash, tokenids, toxicity
+from . import decontam, fingerprint, langid, licenses, linededup, mixing, pii, simhash, tokenids, toxicity
 from .common import held_out, table
 
 #: The tokenizer of op8 and the id that ends a document.
@@ -19,6 +19,14 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: The key of op2's surrogates: a deployment sets its own.
+PII_SECRET = "streamloom"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymized(table(spark, sf_dir, "documents"), PII_SECRET)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "license", "template", "first_word", "last_word", "containment")
@@ -138,6 +146,7 @@ from w left join cover using (doc_id) left join items using (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_pii": op2_pii,
     "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
