@@ -66,3 +66,16 @@ def split_by_keys(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[D
     marked = F.broadcast(keys.select(bucket.alias("_bucket")).distinct())
     with_bucket = df.withColumn("_bucket", bucket)
     return tuple(with_bucket.join(marked, "_bucket", how).drop("_bucket") for how in ("left_semi", "left_anti"))
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_one: bool = False) -> DataFrame:
+    """`docs`, all columns, without the rows whose (doc_id, key) is in `keys`; with `keep_one`, one row of each stays. Rows that are surely not meant do not move."""
+    names = docs.columns
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("key"))
+    some, rest = split_by_keys(rows, keys, ["doc_id", "key"])
+    k = keys.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct().hint("merge")
+    same = some.doc_id.eqNullSafe(k["_d"]) & (some.key == k["_k"])
+    stay = some.join(k, same, "left_anti")
+    if keep_one:
+        stay = stay.unionAll(some.join(k, same, "left_semi").dropDuplicates(["doc_id", "key"]))
+    return stay.unionAll(rest).select(*(F.col("row").getField(c).alias(c) for c in names))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, row_key, split_by_keys, without_keys
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,7 +93,7 @@ def matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slop: i
 
     second = index.join(step("rank = 2").select("term").distinct(), "term", "left_semi")
     pairs = materialize(_follow(expect(seeds.filter("n > 1"), "rank = 2"), second, slop).select(*DOC, "wid", "n", "start").distinct(), "pairs")
-    inside = index.filter("term >= 0").join(pairs.select(*DOC).distinct(), DOC, "left_semi")
+    inside = split_by_keys(index.filter("term >= 0"), pairs, DOC)[0]  # only postings of documents that may hold a pair are shuffled
     rest = _follow(expect(pairs.filter("n > 2"), "rank > 2"), inside, slop)
     full = rest.groupBy(*DOC, "wid", "start", "n").agg(F.count(F.lit(1)).alias("c")).filter("c = n - 2").drop("c")
     cols = [*DOC, "wid", "start", "n"]
@@ -136,3 +136,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce("items", none).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, in which no window of `benchmark` occurs."""
+    found = materialize(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select("doc_id", "key"), "contaminated")
+    return without_keys(docs, found, id_col, text_col)
