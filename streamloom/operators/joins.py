@@ -43,7 +43,7 @@ def _nothing(left: DataFrame, right: DataFrame, prefix: str) -> DataFrame:
     return _merged(none, own(left), own(right), prefix, F.col(f"__l{ARRIVAL}").alias(ARRIVAL), *_ties(left, right))
 
 
-def tumbling_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, micros: int, flush_last: bool = False, prefix: str = "right_") -> DataFrame:
+def tumbling_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, micros: int, flush_last: bool = False, prefix: str = "right_", first_event: int | None = None) -> DataFrame:
     """Pairs of events of one window, given out when the window closes: at the arrival of the first event after it.
 
     Windows follow the first event of either stream. The bucket is an equi-join key, so `!=` joins are local to a window as well. Column ARRIVAL is the time of giving out.
@@ -51,7 +51,8 @@ def tumbling_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, mi
     if not (_has(left, a) and _has(right, b)):
         return _nothing(left, right, prefix)
     both = left.select(ARRIVAL).unionAll(right.select(ARRIVAL))
-    first = F.broadcast(span(both).select(F.col("__first").alias("__t0")))  # one row
+    start = F.col("__first") if first_event is None else F.lit(first_event)
+    first = F.broadcast(span(both).select(start.alias("__t0")))  # one row
     bucket = lambda c: F.floor((F.col(c) - F.col("__t0")) / micros)
     closes = both.crossJoin(first).groupBy(bucket(ARRIVAL).alias("__w")).agg(F.min(ARRIVAL).alias("__begin"))
     closes = closes.select("__w", F.lead("__begin").over(Window.orderBy("__w")).alias("__close"))

@@ -18,8 +18,10 @@ from .frames import ARRIVAL, EMIT, SEQ, WINDOW, span
 _FULL = (1 << 62) - 1
 
 
-def bucketed(df: DataFrame, micros: int) -> DataFrame:
-    """`df` with WINDOW: the number of its tumbling window, counted from the first event."""
+def bucketed(df: DataFrame, micros: int, first_event: int | None = None) -> DataFrame:
+    """`df` with WINDOW: the number of its tumbling window, counted from the first event of all or the one given."""
+    if first_event is not None:
+        return df.withColumn(WINDOW, F.floor((F.col(ARRIVAL) - F.lit(first_event)) / micros))
     first = F.broadcast(span(df).select(F.col("__first").alias("__t0")))  # one row
     return df.crossJoin(first).withColumn(WINDOW, F.floor((F.col(ARRIVAL) - F.col("__t0")) / micros)).drop("__t0")
 
@@ -30,8 +32,8 @@ def _closed(df: DataFrame) -> DataFrame:
     return df.crossJoin(last).filter(F.col(WINDOW) < F.col("__wmax")).drop("__wmax")
 
 
-def _scan(micros: int):
-    """Rows (window, arrival, seq) in order: those that come `micros` or more after the last that fired. State is one number, so a stream of any length passes through."""
+def _scan(micros: int, since: int | None = None):
+    """Rows (window, arrival, seq) in order: those that come `micros` or more after the last that fired. State is one number, so a stream of any length passes through; `since` is where it begins, or else the first row does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = last = None
@@ -43,7 +45,7 @@ def _scan(micros: int):
                 if a == z:
                     continue
                 if ws[a] != window:
-                    window, last = ws[a], at[a]
+                    window, last = ws[a], at[a] if since is None else since
                 k = a + int(np.searchsorted(at[a:z], last + micros))
                 while k < z:
                     fired.append(k)
@@ -54,7 +56,7 @@ def _scan(micros: int):
     return run
 
 
-def triggers(df: DataFrame, w: Windowing, window: str | None = None) -> DataFrame:
+def triggers(df: DataFrame, w: Windowing, window: str | None = None, since: int | None = None) -> DataFrame:
     """(w, a, s): window, arrival and order of the events at which the velocity fires; counters start anew in each `window`, if one is named."""
     of = F.col(window) if window else F.lit(0).cast("long")
     if w.velocity_type.lower() == "count":
@@ -65,7 +67,7 @@ def triggers(df: DataFrame, w: Windowing, window: str | None = None) -> DataFram
         return df.withColumn("__nth", nth).filter(F.col("__nth") % n == 0).select(of.cast("long").alias("w"), F.col(ARRIVAL).alias("a"), F.col(SEQ).alias("s"))
     times = df.select(of.cast("long").alias("w"), F.col(ARRIVAL).alias("a"), F.col(SEQ).alias("s"))
     # each firing depends on the one before: one task, but of two numbers a row, streamed in order
-    return times.repartition(1).sortWithinPartitions("w", "s").mapInArrow(_scan(round(w.velocity * 1_000_000)), "w long, a long, s long")
+    return times.repartition(1).sortWithinPartitions("w", "s").mapInArrow(_scan(round(w.velocity * 1_000_000), since), "w long, a long, s long")
 
 
 def tumbling(df: DataFrame, w: Windowing) -> DataFrame:
@@ -80,13 +82,13 @@ def tumbling(df: DataFrame, w: Windowing) -> DataFrame:
     return full.unionByName(early).drop(WINDOW)
 
 
-def sliding(df: DataFrame, w: Windowing) -> DataFrame:
+def sliding(df: DataFrame, w: Windowing, fired: DataFrame | None = None) -> DataFrame:
     """Whenever the velocity fires: the events of the last `size`, its first instant included.
 
     Time is cut into steps of the window's size; a firing looks at its own step and the one before, so step is an equi-join key.
     """
     step = lambda c: F.floor(F.col(c) / w.micros)
-    fired = triggers(df, w).select("a", "s", F.explode(F.array(step("a") - 1, step("a"))).alias("__step"))
+    fired = (triggers(df, w) if fired is None else fired).select("a", "s", F.explode(F.array(step("a") - 1, step("a"))).alias("__step"))
     held = df.withColumn("__step", step(ARRIVAL))
     joined = held.join(fired, "__step").filter((F.col(SEQ) <= F.col("s")) & (F.col(ARRIVAL) >= F.col("a") - w.micros))
     return joined.withColumn(EMIT, F.struct(F.lit(0).cast("long").alias("w"), "s")).drop("__step", "a", "s")
