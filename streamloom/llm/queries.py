@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from . import decontam, fingerprint, langid, licenses, linededup, mixing, pii, simhash, tokenids, toxicity
 from .common import held_out, table
 
-#: The tokenizer of op8 and the id that ends a document.
+#: The tokenizer of op8, the id that ends a document, and the greatest id.
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+MOST_ID = 49407
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def word_tokens(path: str | None = None):
 
 
 def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = tokenids.written_tokens(table(spark, sf_dir, "documents"), word_tokens(), END_ID)
+    _, rows = tokenids.written_tokens(table(spark, sf_dir, "documents"), word_tokens(), END_ID, MOST_ID)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
