@@ -70,8 +70,8 @@ def _order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def measured(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(doc_id, key, domain, lang, source, n_tokens): tokens are words between white space; null names are empty, a null text has none."""
+def measured(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", whole_rows: bool = False) -> DataFrame:
+    """(doc_id, key, domain, lang, source, n_tokens), with `whole_rows` also `row`, a struct of all columns: tokens are words between white space; null names are empty, a null text has none."""
     named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -80,6 +80,7 @@ def measured(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col:
         named(F.col(lang_col)).alias("lang"),
         named(F.col(source_col)).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
+        *([F.struct("*").alias("row")] if whole_rows else []),
     )
 
 
@@ -119,3 +120,11 @@ def mix(rows: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     me = F.struct(_order_key(seed, F.col("epochs"), F.col("doc_id")).alias("o"), F.col("doc_id"), F.col("key"))
     extra = F.coalesce((me <= F.col("cut")).cast("long"), F.lit(0))
     return joined.select(*rows.columns, "budget", (F.col("epochs") + extra).alias("copies"))
+
+
+def mixture(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], numerator: int, denominator: int, epochs: int, seed: int) -> DataFrame:
+    """The mixture itself: rows of `docs`, all columns, each as often as the mixture holds it."""
+    planned = plan(measured(docs, domain), weights, numerator, denominator, epochs, seed)
+    chosen = mix(measured(docs, domain, whole_rows=True), planned, seed).filter("copies > 0")
+    repeated = chosen.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

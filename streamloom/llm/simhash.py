@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key, without_keys
 from .components import connected_components
 
 SHINGLE = 4
@@ -51,15 +51,14 @@ def simhash(text: bytes) -> int:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.array([simhash(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], "<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        found = np.array([simhash(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()], "<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of `docs`; a null or empty text has fingerprint 0."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _hash_batches, "doc_id long, fp long"
-    )
+    """(doc_id, key, fp): one row per row of `docs`; a null or empty text has fingerprint 0. `key` (row_key) tells apart rows that share an id but not a text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_hash_batches, "doc_id long, key long, fp long")
 
 
 def _hamming_tables(most: int) -> list[list[tuple[int, int]]]:
@@ -190,10 +189,10 @@ def near_links(distinct: DataFrame, cell_rows: int = CELL_ROWS, wide: bool | Non
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): per row of `docs`, its fingerprint and the smallest id reachable over links of MAX_BITS bits or fewer.
+    """(doc_id, key, fp, component, component_id): per row of `docs`, its fingerprint and the smallest id reachable over links of MAX_BITS bits or fewer.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows repeat as they come. A null id never is
-    a component's smallest, unless the component has no other. An empty table gives an empty result.
+    a component's smallest, unless the component has no other; `component`, a fingerprint, names each. An empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -203,8 +202,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("fp", "least", F.coalesce("component", "fp").alias("component"))
     )
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = least.select("fp", "component").join(ids, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = least.select("fp", "component").join(ids, "component").select("fp", "component", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "key", "fp", "component", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, but of each component only one: the least id, and of equal ids the least row key. Of rows that are equal in both, one stays."""
+    found = materialize(near_duplicates(docs, id_col, text_col), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
+    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", "first")
+    pairs = found.join(first, "component").select("doc_id", "key", (order != F.col("first")).alias("late"))
+    gone = materialize(pairs.filter("late").select("doc_id", "key"), "late")
+    repeated = materialize(pairs.filter("not late").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    return without_keys(without_keys(docs, gone, id_col, text_col), repeated, id_col, text_col, keep_one=True)
 
 
 def as_hex(fp: Column) -> Column:

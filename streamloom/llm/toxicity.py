@@ -103,11 +103,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return {"idx": np.frombuffer(model.idx, "<i4"), "weight": np.frombuffer(model.weight, "<f8"), "bias": model.bias}
 
 
+def dense(model: dict) -> np.ndarray:
+    """All weights; made once for each model that arrives at a worker."""
+    if "dense" not in model:
+        model["dense"] = np.zeros(FEATURES)
+        model["dense"][model["idx"]] = model["weight"]
+    return model["dense"]
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        weights = np.zeros(FEATURES, np.float64)
-        weights[model["idx"]] = model["weight"]
+        model, weights = shared.value, dense(shared.value)
         for b in batches:
             total = np.full(b.num_rows, model["bias"])
             for first, part, offsets in chunks(b.column(b.num_columns - 1)):
@@ -130,3 +136,21 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(_score(shared), "doc_id long, key long, score double")
     return found.select("doc_id", "key", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def _keep(shared, column: int):
+    scored = _score(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.RecordBatch.from_arrays([b.column(column)], ["text"])
+            total = next(scored(iter([texts]))).column(0).to_numpy()
+            yield b.filter(pa.array(total < THRESHOLD))
+
+    return run
+
+
+def nontoxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose score is under the threshold. No row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, docs.columns.index(text_col)), docs.schema)
