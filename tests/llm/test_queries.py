@@ -178,13 +178,13 @@ def test_components(spark):
 
 
 def test_op7(spark, sf_dir, texts):
-    pattern = re.compile(r"(?<!\S)(?=(\S{12,}|\S.{0,11}))")
+    cut = lambda n: {a if len(a) >= 12 else f"{a} {b}"[:12].rstrip() if b is not None else a for w in [n.split(" ")] for a, b in zip(w, [*w[1:], None])}
     norm = lambda s: s.strip(" \t\n\r\f\v").lower()
     sets, first = {}, {}
     for i, t in texts:
         for p, line in enumerate(t.split("\n")):
             if (n := norm(line)) and n not in sets:
-                sets[n], first[n] = set(pattern.findall(n)), (i, p)
+                sets[n], first[n] = cut(n), (i, p)
     names = list(sets)
     pairs = [(a, b) for a in range(len(names)) for b in range(a) if len(x := sets[names[a]] & sets[names[b]]) >= 0.8 * (len(sets[names[a]]) + len(sets[names[b]]) - len(x))]
     root = joined(len(names), pairs)
