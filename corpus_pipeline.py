@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from streamloom.llm import decontam, mixing, queries, simhash, tokenids, toxicity
 from streamloom.llm.common import materialize, table
 
+#: Fewer than op8 alone remembers: the workers still hold memory of the stages before.
+CACHE_WORDS = 150_000
+
 #: SQL cannot express training, fingerprints or token files: the tests compare with brute force.
 ORACLE_SQL = None
 
@@ -29,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _, rows = tokenids.written_tokens(docs, queries.word_tokens(), queries.END_ID, queries.MOST_ID)
+    _, rows = tokenids.written_tokens(docs, queries.word_tokens(cache_words=CACHE_WORDS), queries.END_ID, queries.MOST_ID)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

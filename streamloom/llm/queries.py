@@ -56,13 +56,13 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
-def word_tokens(path: str | None = None):
+def word_tokens(path: str | None = None, cache_words: int = tokenids.CACHE_WORDS):
     """Makes the encoder of op8 on the worker that runs it."""
 
     def make():
         import public_tokenizers
 
-        return tokenids.word_encoder(path or public_tokenizers.path(TOKENIZER))
+        return tokenids.word_encoder(path or public_tokenizers.path(TOKENIZER), cache_words)
 
     return make
 

@@ -50,10 +50,12 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.nd
 
     A text moves a coordinate by less than 1, so one that too few texts have can never pass L1: leaving it out changes no result.
     """
-    if not rows:
-        return np.zeros(FEATURES), 0.0
-    seen = np.bincount(np.concatenate([idx for idx, _ in rows]), minlength=FEATURES) * epochs > L1
-    rows = [(idx[seen[idx]], label) for idx, label in rows]
+    seen = np.zeros(FEATURES, np.int32)
+    for idx, _ in rows:
+        seen[idx] += 1
+    useful = seen * epochs > L1
+    for k, (idx, label) in enumerate(rows):
+        rows[k] = (idx[useful[idx]], label)
     z, n = np.zeros(FEATURES), np.zeros(FEATURES)
     bias_z = bias_n = 0.0
 
