@@ -208,7 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, but of each component only one: the least id, and of equal ids the least row key. Of rows that are equal in both, one stays."""
-    found = materialize(near_duplicates(docs, id_col, text_col), "near")
+    return first_of_components(docs, materialize(near_duplicates(docs, id_col, text_col), "near"), id_col, text_col)
+
+
+def first_of_components(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that come first in their component; `found` has (doc_id, key, component) per row of `docs`."""
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
     first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", "first")
     pairs = found.join(first, "component").select("doc_id", "key", (order != F.col("first")).alias("late"))
