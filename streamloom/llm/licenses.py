@@ -5,11 +5,13 @@ begin at each word. A window is WINDOW consecutive shingles; windows begin at ev
 every function is a band of one row. A window that equals a window of a template collides for certain; one that holds half of its shingles
 collides with probability 1 - 0.5^HASHES (0.98). A template of a single shingle lies in WINDOW windows of the text, and is missed by all with
 probability 0.5^(HASHES * WINDOW) at most for independent windows. Texts with a collision are verified: a match is a place
-where at least CONTAINED of a template's shingles stand, each in its place give or take SLACK of the template's length.
+where at least CONTAINED of a template's shingles stand, each in its place give or take SLACK of the template's length, and each word that tells the license from its kin (TELLING) stands in one of them.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,22 +35,46 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
-    "BSD-3-Clause": [
+    "AGPL-3.0": [
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    # the clause that both BSD licenses begin with, and the one that only the longer has
+    "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0"],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "LGPL-2.1": [
+        "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ],
+    "LGPL-3.0": [
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
     "MIT": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+_SPDX = "AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-NC-4.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense".split()
+#: Notices of any length, also under SHINGLE words, that count only word for word.
+NOTICES = {
+    "All-Rights-Reserved": ["All rights reserved"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+} | {f"{name} (SPDX)": [f"SPDX-License-Identifier: {name}"] for name in _SPDX}
+#: Template words that tell a license from its kin: a match needs each, with the word after it, in a shingle that matches.
+TELLING = r"[0-9]|^(gnu|lesser|affero|library)$"
 
 
 def words(text: Column) -> Column:
@@ -87,15 +113,32 @@ def template_shingles(spark: SparkSession, templates: dict[str, list[str]]) -> D
     short = spelled.filter(F.size(words(F.col("text"))) < SHINGLE).count()
     if short:
         raise ValueError(f"{short} templates have under {SHINGLE} words")
-    hashed = shingle_hashes(spelled, "text")
-    return hashed.select("template", "license", F.posexplode("hs").alias("at", "h"), F.size("hs").alias("total"), "hs")
-
-
-def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    spelled = spelled.withColumn("w", words(F.col("text")))
+    told = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(F.col("w"), i).rlike(TELLING))
+    hashed = shingle_hashes(spelled.withColumn("told", told), "text")
+    cut = hashed.select("template", "license", F.posexplode("hs").alias("at", "h"), F.size("hs").alias("total"), "hs", "told")
+    return cut.withColumns({"tells": F.filter("told", lambda i: (i >= F.col("at")) & ((i < F.col("at") + SHINGLE - 1) | ((i == F.col("at") + SHINGLE - 1) & (F.col("at") + 1 == F.col("total"))))), "told": F.size("told")})
+
+
+def noticed(rows: DataFrame, notices: dict[str, list[str]], number: int) -> DataFrame:
+    """The places in `rows` (doc_id, key, text) where a notice stands word for word; `number` is the first notice's template number."""
+    spelled = [(number + k, name, re.findall(r"[^\W_]+", t.lower())) for k, (name, t) in enumerate((name, t) for name, ts in notices.items() for t in ts)]
+    gap = r"[^\p{L}\p{N}]+"
+    some = rows.filter(F.lower("text").rlike("|".join(gap.join(w) for _, _, w in spelled)))
+    listed = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.array(*map(F.lit, w)).alias("phrase")) for k, name, w in spelled))
+    each = some.distinct().withColumn("w", words(F.col("text"))).select(*DOC, "w", F.explode(listed).alias("t")).select(*DOC, "w", "t.*")
+    spots = F.sequence(F.lit(0), F.greatest(F.size("w") - F.size("phrase"), F.lit(0)))
+    first = F.filter(spots, lambda i: (F.get(F.col("w"), i) == F.get(F.col("phrase"), 0)) & (F.slice(F.col("w"), i + 1, F.size("phrase")) == F.col("phrase")))
+    found = each.select(*DOC, "template", "license", F.size("phrase").alias("n"), F.explode(first).alias("at"))
+    at = F.col("at").cast("long")
+    return found.select(*DOC, "template", "license", at.alias("first_word"), (at + F.col("n") - 1).alias("last_word"), F.lit(1.0).alias("containment"))
+
+
+def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, key, template, license, first_word, last_word, containment): a row for each place where a template is matched.
 
     Places of one template that overlap are one, the best, and of equal ones the first. Null and empty texts match nothing. Wholly equal
-    rows of `docs` have their matches once.
+    rows of `docs` have their matches once. `notices` must stand word for word; without `templates`, NOTICES are looked for.
     """
     spark = docs.sparkSession
     shingles = materialize(template_shingles(spark, templates or TEMPLATES), "templates")
@@ -117,18 +160,18 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_
     room = F.floor(F.col("total") * SLACK)
     begin, wide = F.col("pos") - F.col("at"), 2 * room + 1
     bins = F.array(F.struct(F.lit(0).alias("row"), F.floor(begin / wide).alias("bin")), F.struct(F.lit(1).alias("row"), F.floor((begin + room) / wide).alias("bin")))
-    binned = place.select(*DOC, "template", "license", "total", "pos", "at", F.explode(bins).alias("b"))
-    scored = binned.groupBy(*DOC, "template", "license", "total", "b").agg(
-        F.count_distinct("at").alias("n"), F.min("pos").alias("first_word"), (F.max("pos") + SHINGLE - 1).alias("last_word")
+    binned = place.select(*DOC, "template", "license", "total", "told", "tells", "pos", "at", F.explode(bins).alias("b"))
+    scored = binned.groupBy(*DOC, "template", "license", "total", "told", "b").agg(
+        F.count_distinct("at").alias("n"), F.min("pos").alias("first_word"), (F.max("pos") + SHINGLE - 1).alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("tells")))).alias("tell")
     )
-    full = scored.filter(F.col("n") >= CONTAINED * F.col("total"))
+    full = scored.filter(F.col("n") >= CONTAINED * F.col("total")).filter("tell = told")
     order = Window.partitionBy(*DOC, "template").orderBy("first_word", "last_word", "b")
     ended = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce(F.col("first_word") > ended, F.lit(True)).cast("int")
     islands = full.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
     best = F.struct(F.col("n"), -F.col("first_word"), -F.col("last_word"))
     chosen = islands.groupBy(*DOC, "template", "license", "total", "island").agg(F.max(best).alias("x"))
-    return chosen.select(
+    out = chosen.select(
         *DOC,
         "template",
         "license",
@@ -136,3 +179,6 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_
         (-F.col("x.col3")).cast("long").alias("last_word"),
         (F.col("x.n") / F.col("total")).alias("containment"),
     )
+    if notices is None and templates is None:
+        notices = NOTICES
+    return out.unionAll(noticed(rows, notices, sum(map(len, (templates or TEMPLATES).values())))) if notices else out

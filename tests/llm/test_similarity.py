@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from streamloom.llm import neardup
+from streamloom.llm import licenses, neardup, queries
 
 
 def alike(sets, least=0.8):
@@ -51,3 +51,22 @@ def test_near_duplicates_are_five_words_at_similarity_08(spark, sf_dir):
 @pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 9, 10, 11, 100])
 def test_prefix_length(n):
     assert neardup.prefix_length(n) == n - -(-4 * n // 5) + 1
+
+
+def test_short_notices_and_kin(spark):
+    header = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+    texts = {
+        1: "some text\nAll rights reserved.", 2: header.format("", 2), 3: header.format("", 3), 4: "modify " + header.format("Lesser ", "2.1"), 5: header.format("Affero ", 3),
+        6: "// SPDX-License-Identifier: MIT", 7: "all rights are reserved", 8: header.format("", 1), 9: header.format("Lesser ", 3),
+    }
+    found = licenses.licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = {(1, "All-Rights-Reserved"), (2, "GPL-2.0"), (3, "GPL-3.0"), (4, "LGPL-2.1"), (5, "AGPL-3.0"), (6, "MIT (SPDX)"), (9, "LGPL-3.0")}
+    assert {(r.doc_id, r.license) for r in found} == want
+    assert [(r.first_word, r.last_word) for r in found if r.doc_id == 1] == [(2, 4)]
+
+
+def test_op3_finds_every_rights_line(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {r.doc_id for r in docs if "all rights reserved" in (r.text or "").lower()}
+    got = {r.doc_id for r in queries.op3_licenses(spark, sf_dir).collect() if r.license == "All-Rights-Reserved"}
+    assert got == want and want
