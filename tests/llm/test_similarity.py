@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from streamloom.llm import licenses, neardup, queries
+from streamloom.llm import licenses, linededup, neardup, queries
 
 
 def alike(sets, least=0.8):
@@ -70,3 +70,15 @@ def test_op3_finds_every_rights_line(spark, sf_dir):
     want = {r.doc_id for r in docs if "all rights reserved" in (r.text or "").lower()}
     got = {r.doc_id for r in queries.op3_licenses(spark, sf_dir).collect() if r.license == "All-Rights-Reserved"}
     assert got == want and want
+
+
+def kept_lines(spark, lines):
+    """The numbers of the lines that stay, each a document."""
+    found = linededup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    return sorted(r.doc_id for r in found if r.text)
+
+
+def test_lines_parted_by_tabs(spark):
+    cells = [f"cell{k:03d}value" for k in range(40)]
+    other = [*cells[:20], "changed", *cells[21:]]
+    assert kept_lines(spark, ["\t".join(cells), "\t".join(other), " \t ".join(cells), "something else"]) == [0, 3]
