@@ -82,3 +82,21 @@ def test_lines_parted_by_tabs(spark):
     cells = [f"cell{k:03d}value" for k in range(40)]
     other = [*cells[:20], "changed", *cells[21:]]
     assert kept_lines(spark, ["\t".join(cells), "\t".join(other), " \t ".join(cells), "something else"]) == [0, 3]
+
+
+@pytest.mark.parametrize("n", [4, 8, 12, 16, 20, 24, 40])
+def test_recall_by_set_size(spark, n):
+    """Of pairs of sets of n and n / 0.8 shingles, one in the other, nearly all share a band."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(n)
+    sets = [r.integers(-(2**62), 2**62, n * 5 // 4).tolist() for _ in range(600)]
+    rows = [(k, s[: len(s) if full else n]) for k, s in enumerate(sets) for full in (0, 1)]
+    df = spark.createDataFrame(rows, "k long, norm array<long>")
+    real, linededup.shingles = linededup.shingles, lambda c: c
+    try:
+        bands = linededup.signed(df).select("k", "bands")
+    finally:
+        linededup.shingles = real
+    shared = bands.groupBy("k").agg(F.collect_list("bands").alias("b")).filter(F.arrays_overlap(F.get("b", 0), F.get("b", 1))).count()
+    assert shared >= 0.985 * len(sets)
