@@ -100,3 +100,12 @@ def test_recall_by_set_size(spark, n):
         linededup.shingles = real
     shared = bands.groupBy("k").agg(F.collect_list("bands").alias("b")).filter(F.arrays_overlap(F.get("b", 0), F.get("b", 1))).count()
     assert shared >= 0.985 * len(sets)
+
+
+def test_short_lines_with_one_changed_word(spark):
+    """All pairs by brute force over five-character shingles; none of these is a pair of word bigrams."""
+    base = ["la casa de la familia no tiene jardin pero tiene balcon grande", "total for the month of march 2019 was 1234 in all our shops", "日本語の文章はここにありますそしてとても長いので似ています"]
+    near = [base[0].replace(" no ", " se "), base[1].replace("1234", "1235"), base[2] + "ね"]
+    lines = [*base, *near, "a line of its own"]
+    cut = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    assert len(alike(cut)) == 3 and kept_lines(spark, lines) == firsts(len(lines), alike(cut))
