@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,19 +55,29 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
-#: Buckets in which `split_by_keys` marks keys.
-FILTER_BUCKETS = 1 << 20
+#: Bits of the map in which `split_by_keys` marks keys: 16 a key within these bounds, so at most 8 MB go to a task. Far beyond 10^8 keys the map rules out little, and the rows move.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+
+
+def key_map(keys: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:
+    """(words of 64 bits, number of bits): bit pmod(xxhash64(columns), bits) is set for each key. Bounded by MOST_BITS, whatever the keys."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    words = keys.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out, bits
 
 
 def split_by_keys(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have their `columns` in `keys`, rows that surely have not), without moving a row of `df`.
-
-    Keys are marked in FILTER_BUCKETS buckets; the list of marked buckets is bounded, so it goes to every task.
-    """
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BUCKETS))
-    marked = F.broadcast(keys.select(bucket.alias("_bucket")).distinct())
-    with_bucket = df.withColumn("_bucket", bucket)
-    return tuple(with_bucket.join(marked, "_bucket", how).drop("_bucket") for how in ("left_semi", "left_anti"))
+    """(rows that may have their `columns` in `keys`, rows that surely have not), without moving a row of `df`."""
+    words, bits = key_map(keys, columns)
+    one = pa.table({"_map": pa.array([words], pa.list_(pa.int64()))})
+    marked = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame(one)))  # one row
+    bit = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    word = F.get(F.col("_map"), F.shiftright(bit, 6).cast("int"))
+    found = F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
+    return marked.filter(found).drop("_map"), marked.filter(~found).drop("_map")
 
 
 def without_keys(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_one: bool = False) -> DataFrame:

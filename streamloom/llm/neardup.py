@@ -1,8 +1,8 @@
-"""Near-duplicate documents by the Jaccard similarity of their sets of word shingles, without loss.
+"""Near-duplicate documents: SimHash components and MinHash bands as candidates, links by the exact Jaccard similarity of sets of word shingles.
 
-Shingles are SHINGLE consecutive words of the text in lower case; a text with fewer words is one shingle. The shingles of a set are taken in the order of their hashes: two
-sets of n and fewer shingles that are similar enough share one of the first n - ceil(SIMILARITY * n) + 1 of each (prefix filter), so
-every pair meets in a bucket of such a shingle. There the pairs are compared exactly, as `linededup.similar_components` describes.
+Shingles are SHINGLE consecutive words of the text in lower case, a text with fewer words being one. SimHash within `simhash.MAX_BITS` of 64 bits reaches but few pairs of
+similarity 0.8 (they differ in some ten bits), so it does not stand alone: the different texts of a SimHash component are one bucket, the bands of their MinHash signatures are
+more, and what shares a bucket is compared as `setjoin` describes. A pair is linked if and only if its similarity is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -15,68 +15,61 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, split_by_keys
-from .linededup import SIMILARITY, similar_components
-from .simhash import first_of_components
+from .common import discard, materialize, row_key, split_by_keys
+from .setjoin import banded, signed, similar_components
+from .simhash import SEED, fingerprint_components, first_of_components, from_hashes, shingle_hashes
 
 SHINGLE = 5
-SEED = 42
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Hashes of the different shingles of a text in UTF-8, in order; never empty."""
-    words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        return np.array([digest(b" ".join(words), SEED)], "<u8")
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(words) - SHINGLE + 1].tolist()
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())], "<u8"))
+def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of each text, one text after another, repeats included; how many each has, at least one)."""
+    found = [shingle_hashes((t or "").encode(), SHINGLE) for t in texts]
+    none = np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+    found = [h if len(h) else none for h in found]
+    return np.concatenate([none[:0], *found]), np.array([len(h) for h in found], np.int64)
 
 
-def prefix_length(n: int) -> int:
-    """How many of n shingles hold one that any similar set has among its own first."""
-    return n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
-
-
-def _name(found: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The name of each text's set of shingles, its fingerprint, and its buckets."""
     for b in batches:
-        sets = [shingle_set(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
-        first = [s[: prefix_length(len(s))].view("<i8") for s in sets]
-        columns = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "key", "h1", "size", "prefix"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(0).cast(pa.binary()).to_pylist()
-        for at in range(0, len(texts), 256):
-            sets = [shingle_set(t or b"") for t in texts[at : at + 256]]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], ["h1", "s"])
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            hashes, sizes = shingles(part.column("text").to_pylist())
+            sets = np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else []
+            names = [xxhash.xxh3_128_digest(np.unique(s).tobytes()) for s in sets]
+            halves = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            fp = np.array([from_hashes(s) for s in sets], "<u8").view("<i8")
+            bands = pa.array([x.tobytes() for x in signed(hashes, sizes)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fp), bands], ["doc_id", "key", "h1", "h2", "fp", "bands"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, component): per row of `docs`, the name of its component over links of SIMILARITY or more. Texts without words, null ones too, are equal."""
+    """(doc_id, key, component): per row of `docs`, the name of its component over links of 0.8 or more. Texts without words, null ones too, are equal."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    cut = materialize(rows.mapInArrow(_prefixes, "doc_id long, key long, h1 long, size int, prefix array<long>"), "prefixes")
-    banded = cut.dropDuplicates(["h1"]).select("h1", "size", F.explode("prefix").alias("bucket"))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        keys = materialize(cut.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("key").alias("key")).select("key").distinct(), "keys")
-        texts = split_by_keys(rows, keys, ["key"])[0].join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
-        return texts.select("text").mapInArrow(_sets, "h1 long, s array<long>").dropDuplicates(["h1"])
-
-    found = similar_components(banded, sets_of, early=True)
-    out = cut.select("doc_id", "key", "h1").join(found, F.col("h1") == found.node, "left")
-    return out.select("doc_id", "key", F.coalesce("component", "h1").alias("component"))
+    cut = materialize(rows.mapInArrow(_sign, "doc_id long, key long, h1 long, h2 long, fp long, bands binary"), "signed")
+    one = F.struct("doc_id", "key")
+    different = cut.groupBy("h1", "h2").agg(F.min(one).alias("row"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    sets = materialize(different.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "row", "fp", "bands"), "sets")
+    near = fingerprint_components(sets.select("fp").distinct())
+    linked = sets.select("id", "fp").join(near, F.col("fp") == near.node).select(F.xxhash64(F.lit("simhash"), "component").alias("bucket"), "id")
+    same = sets.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")  # different sets, one fingerprint
+    equal = sets.join(same, "fp").select(F.xxhash64(F.lit("equal"), "fp").alias("bucket"), "id")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        places = materialize(sets.join(wanted, "id").select("id", "row.doc_id", "row.key"), "places")
+        some = split_by_keys(rows, places, ["doc_id", "key"])[0]
+        p = places.select("id", F.col("doc_id").alias("_d"), F.col("key").alias("_k")).hint("merge")
+        return some.join(p, some.doc_id.eqNullSafe(p["_d"]) & (some.key == p["_k"])).select("id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"])
+
+    found = similar_components(banded(sets).unionAll(linked).unionAll(equal), texts_of, shingles)
+    names = materialize(sets.select("id", "h1", "h2").join(found, F.col("id") == found.node, "left").select("h1", "h2", F.coalesce("component", "id").alias("component")), "names")
+    out = materialize(cut.select("doc_id", "key", "h1", "h2").join(names, ["h1", "h2"]).select("doc_id", "key", "component"), "near")
+    for t in (cut, sets, names):
+        discard(t)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, but of each component only one, as `simhash.first_of_components` has it."""
-    return first_of_components(docs, materialize(near_duplicates(docs, id_col, text_col), "near"), id_col, text_col)
+    return first_of_components(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)

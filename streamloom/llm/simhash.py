@@ -31,24 +31,34 @@ CELL_ROWS = 8192
 BLOCK = 1 << 16
 
 
-def simhash(text: bytes) -> int:
-    """Of whole text in UTF-8. Fewer words than a shingle has: one shingle of all; no words: 0."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """A hash for each shingle of a whole text in UTF-8, repeats included. Fewer words than a shingle has: one shingle of all; no words: none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: max(1, len(words) - SHINGLE + 1)].tolist()
-    ends = ends[SHINGLE - 1 :].tolist() or [len(joined)]
+    starts = (ends - sizes)[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[shingle - 1 :].tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, np.int64), len(starts)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+
+
+def from_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint: a bit is 1 if it is set in over half the hashes; of no hashes, 0."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, BLOCK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        part = hashes[at : at + BLOCK].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def simhash(text: bytes) -> int:
+    """Of a whole text in UTF-8; no words: 0."""
+    return from_hashes(shingle_hashes(text))
+
+
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([simhash(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()], "<u8").view("<i8")
@@ -188,6 +198,11 @@ def near_links(distinct: DataFrame, cell_rows: int = CELL_ROWS, wide: bool | Non
     return cells.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_compare, "u long, v long")
 
 
+def fingerprint_components(distinct: DataFrame) -> DataFrame:
+    """(node, component) over different fingerprints (column fp) that have another within MAX_BITS."""
+    return materialize(connected_components(near_links(distinct)), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, fp, component, component_id): per row of `docs`, its fingerprint and the smallest id reachable over links of MAX_BITS bits or fewer.
 
@@ -196,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = materialize(connected_components(near_links(distinct)), "components")
+    found = fingerprint_components(distinct)
     least = (
         distinct.join(found, distinct.fp == found.node, "left")
         .select("fp", "least", F.coalesce("component", "fp").alias("component"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from streamloom.llm import licenses, linededup, neardup, queries
+from streamloom.llm import licenses, linededup, neardup, queries, setjoin
 
 
 def alike(sets, least=0.8):
@@ -48,11 +48,6 @@ def test_near_duplicates_are_five_words_at_similarity_08(spark, sf_dir):
     assert sorted(x.doc_id for x in near(spark, docs, sf_dir).collect()) == want and len(want) < len(texts) - 20
 
 
-@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 9, 10, 11, 100])
-def test_prefix_length(n):
-    assert neardup.prefix_length(n) == n - -(-4 * n // 5) + 1
-
-
 def test_short_notices_and_kin(spark):
     header = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
     texts = {
@@ -84,22 +79,76 @@ def test_lines_parted_by_tabs(spark):
     assert kept_lines(spark, ["\t".join(cells), "\t".join(other), " \t ".join(cells), "something else"]) == [0, 3]
 
 
-@pytest.mark.parametrize("n", [4, 8, 12, 16, 20, 24, 40])
-def test_recall_by_set_size(spark, n):
+@pytest.mark.parametrize("n", [4, 8, 12, 16, 20, 24, 40, 400])
+def test_recall_by_set_size(n):
     """Of pairs of sets of n and n / 0.8 shingles, one in the other, nearly all share a band."""
-    from pyspark.sql import functions as F
-
     r = np.random.default_rng(n)
-    sets = [r.integers(-(2**62), 2**62, n * 5 // 4).tolist() for _ in range(600)]
-    rows = [(k, s[: len(s) if full else n]) for k, s in enumerate(sets) for full in (0, 1)]
-    df = spark.createDataFrame(rows, "k long, norm array<long>")
-    real, linededup.shingles = linededup.shingles, lambda c: c
-    try:
-        bands = linededup.signed(df).select("k", "bands")
-    finally:
-        linededup.shingles = real
-    shared = bands.groupBy("k").agg(F.collect_list("bands").alias("b")).filter(F.arrays_overlap(F.get("b", 0), F.get("b", 1))).count()
-    assert shared >= 0.985 * len(sets)
+    whole = r.integers(0, 2**64, (2000, n * 5 // 4), np.uint64)
+    x = setjoin.signed(whole.ravel(), np.full(len(whole), whole.shape[1]))
+    y = setjoin.signed(whole[:, :n].ravel(), np.full(len(whole), n))
+    assert (x == y).any(axis=1).mean() >= 0.985
+
+
+def test_recall_of_lines(spark):
+    """Lines of the documents with random edits: what of the pairs of 0.8 and more, by all characters, is in one component."""
+    r = np.random.default_rng(4)
+    lines = sorted({" ".join(x.lower().split()) for t in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() for x in (t.text or "").split("\n")} - {""})
+    base = [lines[k] for k in r.choice(len(lines), 150, replace=False)]
+    edited = []
+    for x in base:
+        for n in (1, 2, 4, 8, 12):
+            y = list(x)
+            for at in r.choice(len(y), min(n, len(y)), replace=False):
+                y[at] = "#"
+            edited.append(" ".join("".join(y).split()))
+    every = sorted({*base, *edited})
+    pairs = alike([{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in every])
+    ids = {x: k for k, x in enumerate(every)}
+    df = spark.createDataFrame([(k, x) for x, k in ids.items()], "doc_id long, text string")
+    docs = linededup.deduplicated(df).collect()
+    stay = {r.doc_id for r in docs if r.text}
+    want = set(firsts(len(every), pairs))
+    assert want <= stay and len(stay - want) <= 0.02 * (len(every) - len(want)) and len(pairs) > 300
+
+
+@pytest.mark.parametrize("task_rows", [1, 3, 50, 10**6])
+def test_buckets_lose_no_pair(spark, monkeypatch, task_rows):
+    """Buckets of all sizes, cut into any pieces and cells: the components are those of all pairs."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    texts = []
+    for k, n in enumerate((1, 2, 3, 9, 30, 80)):
+        base = [f"w{r.integers(10**6)}" for _ in range(40)]
+        for _ in range(n):
+            w = list(base)
+            for at in r.choice(40, 3, replace=False):
+                w[at] = f"x{r.integers(10**6)}"
+            texts.append((k, " ".join(w)))
+    sets = [five_words(t) for _, t in texts]
+    rows = [(k, i) for i, (k, _) in enumerate(texts)]
+
+    def batches():
+        for at in range(0, len(rows), task_rows):
+            b, i = zip(*rows[at : at + task_rows])
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(i, pa.int64())], ["bucket", "id"])
+
+    monkeypatch.setattr(setjoin, "PIECE_ROWS", 16)
+    met = pa.Table.from_batches(list(setjoin._meet(batches()))).to_pylist()
+    assert all(m["a"] is not None and (m["b"] is None) == (m["bucket"] is not None) for m in met)
+    large = {k for k in range(6) if sum(x == k for x, _ in rows) > setjoin.SMALL} | {0, 5}
+    assert {(m["bucket"], m["a"]) for m in met if m["b"] is None} == {(k, i) for k, i in rows if k in large}
+    df = spark.createDataFrame(rows, "bucket long, id long")
+    known = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "id long, text string")
+    out = setjoin.similar_components(df, lambda wanted: known.join(wanted, "id"), neardup.shingles, cell_rows=7).collect()
+    label = {x.node: x.component for x in out}
+    want = firsts(len(texts), [(a, b) for a, b in alike(sets) if texts[a][0] == texts[b][0]])
+    assert sorted({label.get(i, i) for i in range(len(texts))}) == want
+
+
+def test_a_full_stop_more(spark):
+    line = "the quick brown fox jumps over the lazy dog on the near river bank"
+    assert kept_lines(spark, [line, line + ".", line.replace("fox", "ofx"), "Total: 1234 items were counted in the shop and in the store last week", "Total: 1235 items were counted in the shop and in the store last week"]) == [0, 3]
 
 
 def test_short_lines_with_one_changed_word(spark):
