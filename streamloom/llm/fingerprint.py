@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import discard, materialize, row_key, split_by_keys
 
 BATCH_ROWS = 256
 
@@ -63,20 +63,23 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def collisions(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """(doc_id, key, nth) of rows whose digest also belongs to other canonical bytes; None if there are none.
 
-    `digests` has the column digest, a row per row of `docs`. Only texts in buckets of two rows or more are compared. Least and greatest bytes of a bucket
-    are taken with partial results, so a bucket with a third of all rows costs one value per task.
+    `digests` has doc_id, key and digest, a row per row of `docs`. Digests are grouped first; only texts in buckets of two rows or more are canonicalised again and
+    move, as the least and greatest bytes of each bucket in a task, so a bucket with a third of all rows costs two values a task. Edited texts are
+    compared with their own document's only.
     """
     shared = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    canons = _rows(docs, id_col, text_col).mapInArrow(_digest_batches(True), "doc_id long, key long, digest string, canon binary")
-    members = canons.join(shared, "digest", "left_semi")
-    mixed = members.groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("z")).filter("a != z").select("digest")
+    keys = materialize(digests.select("doc_id", "key", "digest").join(shared, "digest", "left_semi").select("doc_id", "key"), "shared")
+    some = split_by_keys(_rows(docs, id_col, text_col), keys, ["doc_id", "key"])[0]
+    canons = some.mapInArrow(_digest_batches(True), "doc_id long, key long, digest string, canon binary")
+    mixed = canons.groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("z")).filter("a != z").select("digest")
     mixed = materialize(mixed, "mixed")
-    if not mixed.count():
+    discard(keys)
+    if not mixed.limit(1).count():
         return None
-    some = canons.join(mixed, "digest", "left_semi")
-    forms = some.select("digest", "canon").distinct()
+    rows = canons.join(mixed, "digest", "left_semi")
+    forms = rows.select("digest", "canon").distinct()
     forms = forms.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
-    return materialize(some.join(forms, ["digest", "canon"]).select("doc_id", "key", "nth").distinct(), "collisions")
+    return materialize(rows.join(forms, ["digest", "canon"]).select("doc_id", "key", "nth").distinct(), "collisions")
 
 
 def _numbered(digests: DataFrame, clash: DataFrame | None, column: str = "digest") -> DataFrame:
