@@ -6,12 +6,12 @@ machine of its own. Votes decide; ties go to the larger sum of margins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ STEPS = 200
 RIDGE = 1e-3
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPREAD = np.uint32(0x9E3779B1)
 
 
