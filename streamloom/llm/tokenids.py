@@ -124,6 +124,7 @@ class _WordCache:
         self.ends = np.zeros(max(spelled.values()) + 1, bool)
         for token, i in spelled.items():
             self.ends[i] = token.endswith("</w>")
+        self.special = sorted({t.content.lower().encode() for t in self.full.get_added_tokens_decoder().values()})
         self.now: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -135,6 +136,8 @@ class _WordCache:
             ids = old.get(p)
             if ids is not None:
                 now[p] = ids
+            elif any(x in p.lower() for x in self.special):
+                whole.append(p)
             elif _PLAIN(p):
                 plain.append(p)
             elif _PLAIN(core := p.rstrip(_TAIL)):
@@ -167,7 +170,9 @@ class _WordCache:
             self.now, self.old = {}, self.now
         known, out, todo, lacking = self.now, [], [], set()
         for t in texts:
-            pieces = (t.encode() if _MARKS.search(t) else _apart(t.lower().encode())).split()
+            low = t.lower().encode()
+            as_is = any(x in low for x in self.special)  # the tokenizer looks for these before it lower-cases, so their case counts
+            pieces = (t.encode() if as_is or _MARKS.search(t) else _apart(low)).split()
             ids = list(map(known.get, pieces))
             if None in ids:
                 gaps = [k for k, x in enumerate(ids) if x is None]

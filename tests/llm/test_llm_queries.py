@@ -100,6 +100,14 @@ def test_op4(spark):
     assert (df.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in df.doc_id]).all()
 
 
+def test_letters(spark):
+    """Numbers and signs that are not letters do not make a text of a language."""
+    rows = [(1, "²½ ³"), (2, "①②"), (3, "123 _ !"), (4, "ª"), (5, "漢"), (6, "x")]
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    found = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [k for k, v in found.items() if v == "und"] == [1, 2, 3]
+
+
 def test_families():
     assert langid.family("de") == langid.family("en") != langid.family("fr") and langid.family("xx") == "xx"
 
@@ -243,9 +251,12 @@ def test_encoder_is_the_tokenizer():
 
     path = public_tokenizers.path(queries.TOKENIZER)
     fast, full = tokenids.word_encoder(path, 50), Tokenizer.from_file(path)
-    pieces = st.sampled_from([*"abcÉß×÷«ñ.,!?'\"() \n\t漢_#-", "Th", "'s", "J̌", "İ", "...", ". ", ",\n", "<|endoftext|>", "Σ", "˂", "\x1c", "23", "­"])
+    pieces = st.sampled_from([*"abcÉß×÷«ñ.,!?'\"() \n\t漢_#-", "Th", "'s", "J̌", "İ", "...", ". ", ",\n", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", "Σ", "˂", "\x1c", "23", "­"])
+
+    for text in ("<|ENDOFTEXT|>", "A<|EndOfText|>b", "Word <|endoftext|> <|ENDOFTEXT|>.", "x<|startoftext|>Y<|STARTOFTEXT|>"):
+        assert np.frombuffer(fast([text])[0], "<u2").tolist() == full.encode(text, add_special_tokens=False).ids
 
-    @settings(max_examples=300, deadline=None)
+    @settings(max_examples=10_000, deadline=None)
     @given(st.one_of(st.text(max_size=40), st.lists(pieces, max_size=30).map("".join)))
     def check(text):
         assert np.frombuffer(fast([text])[0], "<u2").tolist() == full.encode(text, add_special_tokens=False).ids
