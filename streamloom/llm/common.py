@@ -80,14 +80,16 @@ def split_by_keys(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[D
     return marked.filter(found).drop("_map"), marked.filter(~found).drop("_map")
 
 
-def without_keys(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_one: bool = False) -> DataFrame:
-    """`docs`, all columns, without the rows whose (doc_id, key) is in `keys`; with `keep_one`, one row of each stays. Rows that are surely not meant do not move."""
+def without_keys(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs`, all columns, without the rows whose (doc_id, key) is in `keys`. `keys` may have a column `one`: where it is true, one row of the equal ones stays. Rows that are surely not meant do not move."""
     names = docs.columns
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("key"))
     some, rest = split_by_keys(rows, keys, ["doc_id", "key"])
-    k = keys.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct().hint("merge")
-    same = some.doc_id.eqNullSafe(k["_d"]) & (some.key == k["_k"])
-    stay = some.join(k, same, "left_anti")
-    if keep_one:
-        stay = stay.unionAll(some.join(k, same, "left_semi").dropDuplicates(["doc_id", "key"]))
-    return stay.unionAll(rest).select(*(F.col("row").getField(c).alias(c) for c in names))
+    one = F.col("one") if "one" in keys.columns else F.lit(False)
+    k = keys.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.max(one).alias("_one")).hint("merge")
+    # not an anti join: the optimizer would take that below the map's filter, and move all rows
+    found = some.join(k, some.doc_id.eqNullSafe(k["_d"]) & (some.key == k["_k"]), "left")
+    stay = found.filter("_k is null").select("row")
+    if "one" in keys.columns:
+        stay = stay.unionAll(found.filter("_one").dropDuplicates(["doc_id", "key"]).select("row"))
+    return stay.unionAll(rest.select("row")).select(*(F.col("row").getField(c).alias(c) for c in names))

@@ -231,9 +231,8 @@ def first_of_components(docs: DataFrame, found: DataFrame, id_col: str = "doc_id
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
     first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", "first")
     pairs = found.join(first, "component").select("doc_id", "key", (order != F.col("first")).alias("late"))
-    gone = materialize(pairs.filter("late").select("doc_id", "key"), "late")
-    repeated = materialize(pairs.filter("not late").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
-    return without_keys(without_keys(docs, gone, id_col, text_col), repeated, id_col, text_col, keep_one=True)
+    gone = pairs.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.every("late").alias("late")).filter("late or n > 1")
+    return without_keys(docs, materialize(gone.select("doc_id", "key", (~F.col("late")).alias("one")), "late"), id_col, text_col)
 
 
 def as_hex(fp: Column) -> Column:
