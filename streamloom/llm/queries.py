@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,13 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-#: The key of op2's surrogates: a deployment sets its own.
-PII_SECRET = "streamloom"
+#: Where a session holds the key of op2's surrogates. Without one each run has a key of its own, and nobody can tell its surrogates again.
+PII_SECRET = "spark.streamloom.pii.secret"
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.anonymized(table(spark, sf_dir, "documents"), PII_SECRET)
+    secret = spark.conf.get(PII_SECRET, None) or secrets.token_hex(32)
+    return pii.anonymized(table(spark, sf_dir, "documents"), secret)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
