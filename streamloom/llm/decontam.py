@@ -3,7 +3,8 @@
 The index is a table of postings (doc, row key, term, position) for the terms that occur in the test windows. Each window is
 looked up from its rarest term: a posting at p is a candidate start p - offset; candidates are intersected with the second
 rarest term's offset-adjusted postings, and the few that stay with those of all other terms. With `slop` 0 these are
-exact phrase matches, else proximity matches: each term lies within `slop` positions of its place.
+exact phrase matches, else proximity matches: a window matches at a start if each of its terms has a position within `slop` of its place. Any
+start counts from which that holds, up to `slop` before the text, whichever term is rarest; hit are the positions themselves.
 """
 
 from __future__ import annotations
@@ -85,8 +86,10 @@ def matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slop: i
     )
     rows = plan.count()
     step = lambda cond: _small(plan.filter(cond).select("wid", "n", "off", "term"), rows)
-    seeds = index.join(step("rank = 1"), "term").select(*DOC, "wid", "n", (F.col("pos") - F.col("off")).alias("start")).distinct()
-    seeds = materialize(seeds.filter("start >= 0"), "seeds")
+    begin = F.col("pos") - F.col("off")
+    starts = F.explode(F.sequence(begin - slop, begin + slop)) if slop else begin
+    seeds = index.join(step("rank = 1"), "term").select(*DOC, "wid", "n", starts.alias("start")).distinct()
+    seeds = materialize(seeds.filter(F.col("start") >= -slop), "seeds")
 
     def expect(found: DataFrame, cond: str) -> DataFrame:
         return found.join(step(cond).drop("n"), "wid").select(*DOC, "wid", "n", "start", "off", "term", (F.col("start") + F.col("off")).alias("at"))
@@ -100,6 +103,26 @@ def matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slop: i
     return full.select(cols).unionAll(pairs.filter("n = 2").select(cols)).unionAll(seeds.filter("n = 1").select(cols))
 
 
+def _hit_spans(found: DataFrame) -> DataFrame:
+    """(d, key, n_hit) of exact matches: words that any of them spans."""
+    end = F.col("start") + F.col("n")
+    before = F.max(end).over(Window.partitionBy(*DOC).orderBy("start", "n", "wid").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(before, F.lit(0))))
+    return found.select(*DOC, new.alias("new")).groupBy(*DOC).agg(F.sum("new").alias("n_hit"))
+
+
+def _hit_places(found: DataFrame, index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slop: int) -> DataFrame:
+    """(d, key, n_hit) of proximity matches: positions of a match's terms within `slop` of their places."""
+    width = 2 * slop + 1
+    terms = windows.select("wid", F.posexplode("terms").alias("off", "word")).join(vocabulary, "word").select("wid", "off", "term")
+    at = found.join(terms, "wid").select(*DOC, "term", (F.col("start") + F.col("off")).alias("at")).distinct()
+    bucket = lambda c: F.floor(c / width)
+    near = at.withColumn("b", F.explode(F.array_distinct(F.array(bucket(F.col("at") - slop), bucket(F.col("at") + slop)))))
+    there = split_by_keys(index.filter("term >= 0"), found.select(*DOC).distinct(), DOC)[0].withColumn("b", bucket(F.col("pos")))
+    hit = near.join(there, [*DOC, "term", "b"]).filter(F.abs(F.col("pos") - F.col("at")) <= slop)
+    return hit.select(*DOC, "pos").distinct().groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_hit"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """(doc_id, key, n_words, n_hit, n_items, items, contaminated): a row per row of `docs`.
 
@@ -112,13 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     index = build_index(docs, vocabulary, vocabulary.count(), id_col, text_col)
     found = materialize(matches(index, windows, vocabulary, slop), "matches")
-    end = F.col("start") + F.col("n")
-    before = F.max(end).over(Window.partitionBy(*DOC).orderBy("start", "n", "wid").rowsBetween(Window.unboundedPreceding, -1))
-    hits = (
-        found.select(*DOC, F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("new"))
-        .groupBy(*DOC)
-        .agg(F.sum("new").alias("n_hit"))
-    )
+    hits = _hit_places(found, index, windows, vocabulary, slop) if slop else _hit_spans(found)
     items = (
         found.select(*DOC, "wid").distinct().join(windows.select("wid", F.explode("items").alias("item")), "wid")
         .groupBy(*DOC)

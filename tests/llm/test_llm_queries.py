@@ -374,6 +374,30 @@ def test_sql(spark, sf_dir, name):
     assert rows(df) == sorted(want) and want
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity(spark, slop):
+    """Against all starts of all windows, over texts of few words, so that any term may be the rarest."""
+    r = np.random.default_rng(9)
+    docs = [(k, " ".join(r.choice(list("abcdefgh"), r.integers(0, 14)))) for k in range(120)] + [(500, "bb aa cc dd ee"), (501, "x aa bb dd cc ee")]
+    items = [(k, " ".join(r.choice(list("abcdefgh"), r.integers(1, 6)))) for k in range(12)] + [(90, "aa bb cc dd ee"), (91, "x aa bb dd cc ee")]
+    want = []
+    for i, t in docs:
+        w, hit, got = t.split(), set(), set()
+        for item, x in items:
+            terms = x.split()
+            for k in range(max(1, len(terms) - 3)):
+                window = terms[k : k + 4]
+                for s in range(-slop, len(w)):
+                    places = [{p for p in range(max(0, s + o - slop), min(len(w), s + o + slop + 1)) if w[p] == x} for o, x in enumerate(window)]
+                    if all(places):
+                        hit |= set().union(*places)
+                        got.add(str(item))
+        want.append((i, len(w), len(hit), tuple(sorted(got))))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b, window=4, slop=slop).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_hit, tuple(x["items"])) for x in found) == sorted(want)
+
+
 def test_pipeline(spark, sf_dir, texts):
     """Each stage against brute force over what the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
