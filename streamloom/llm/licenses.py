@@ -1,11 +1,15 @@
 """License scans, in DataFrame operations only: MinHash over overlapping text windows retrieves templates, exact shingle containment verifies them.
 
 Texts and templates are sequences of words (runs of letters and digits, in lower case) and of the shingles of SHINGLE words that
-begin at each word. A window is WINDOW consecutive shingles; windows begin at every shingle. Its signature is the least value of each of HASHES hash functions;
-every function is a band of one row. A window that equals a window of a template collides for certain; one that holds half of its shingles
-collides with probability 1 - 0.5^HASHES (0.98). A template of a single shingle lies in WINDOW windows of the text, and is missed by all with
-probability 0.5^(HASHES * WINDOW) at most for independent windows. Texts with a collision are verified: a match is a place
-where at least CONTAINED of a template's shingles stand, each in its place give or take SLACK of the template's length, and each word that tells the license from its kin (TELLING) stands in one of them.
+begin at each word. A window is WINDOW consecutive shingles; windows begin at every shingle, in texts and templates. Its signature is the least value of each of HASHES hash functions;
+every function is a band of one row, so windows that share half of their shingles collide with probability 1 - 0.5^HASHES (0.98), and equal ones for certain.
+
+That settles what a match needs: of a template of n shingles at least CONTAINED stand in the text. Of 2 to 4 shingles that is all of them, of 5 or more at least four in five, so two
+neighbours stand unbroken, which is an equal window: such a template is retrieved for certain. A template of one shingle lies in WINDOW windows of the text, and is missed by all with
+probability 0.5^(HASHES * WINDOW), 0.0002, at most. Longer windows would lose the one-sentence wordings by which texts name licenses.
+
+Texts with a collision are verified, word by word: a match is a place where at least CONTAINED of a template's shingles stand, each in its place give or take SLACK of the
+template's length, and each word that tells the license from its kin (TELLING) stands in one of them.
 """
 
 from __future__ import annotations
@@ -91,8 +95,9 @@ def _zipped(df: DataFrame, out: str, left: str, right: str, skip: int) -> DataFr
 
 
 def shingle_hashes(df: DataFrame, text: str) -> DataFrame:
-    """`df` with `hs`: a hash for each shingle of the words of column `text`; fewer words than a shingle has give no shingle."""
-    found = df.withColumn("w1", F.transform(F.coalesce(words(F.col(text)), F.array().cast("array<string>")), lambda x: F.xxhash64(x)))
+    """`df` with `w`, the words of column `text`, and `hs`, a hash for each shingle of them; fewer words than a shingle has give no shingle."""
+    found = df.withColumn("w", F.coalesce(words(F.col(text)), F.array().cast("array<string>")))
+    found = found.withColumn("w1", F.transform("w", lambda x: F.xxhash64(x)))
     two = _zipped(found, "w2", "w1", "w1", 1)
     four = _zipped(two, "w4", "w2", "w2", 2)
     return _zipped(four, "hs", "w4", "w1", 4).drop("w1", "w2", "w4")
@@ -116,7 +121,8 @@ def template_shingles(spark: SparkSession, templates: dict[str, list[str]]) -> D
     spelled = spelled.withColumn("w", words(F.col("text")))
     told = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(F.col("w"), i).rlike(TELLING))
     hashed = shingle_hashes(spelled.withColumn("told", told), "text")
-    cut = hashed.select("template", "license", F.posexplode("hs").alias("at", "h"), F.size("hs").alias("total"), "hs", "told")
+    cut = hashed.select("template", "license", F.posexplode("hs").alias("at", "h"), F.size("hs").alias("total"), "hs", "told", "w")
+    cut = cut.withColumn("said", F.slice("w", F.col("at") + 1, F.lit(SHINGLE))).drop("w")
     return cut.withColumns({"tells": F.filter("told", lambda i: (i >= F.col("at")) & ((i < F.col("at") + SHINGLE - 1) | ((i == F.col("at") + SHINGLE - 1) & (F.col("at") + 1 == F.col("total"))))), "told": F.size("told")})
 
 
@@ -148,13 +154,14 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_
     wanted = whole.select(*(signature(F.col("hs"), k).alias(f"s{k}") for k in range(HASHES)))
     wanted = wanted.agg(*(F.array_distinct(F.flatten(F.collect_set(f"s{k}"))).alias(f"t{k}") for k in range(HASHES)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    hashed = shingle_hashes(rows, "text").select(*DOC, "hs")
+    hashed = shingle_hashes(rows, "text").select(*DOC, "hs", "w")
     probed = hashed.crossJoin(F.broadcast(wanted))  # one row: the bands of all templates
     hit = F.lit(False)
     for k in range(HASHES):
         hit = hit | F.arrays_overlap(signature(F.col("hs"), k), F.col(f"t{k}"))
-    found = materialize(probed.filter(hit).select("doc_id", "key", "hs").distinct(), "retrieved")
-    place = found.select("doc_id", "key", F.posexplode("hs").alias("pos", "h")).join(F.broadcast(shingles.drop("hs")), "h")
+    found = materialize(probed.filter(hit).select("doc_id", "key", "hs", "w").dropDuplicates(DOC), "retrieved")
+    cut = F.transform("hs", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.slice("w", i + 1, F.lit(SHINGLE)).alias("said")))
+    place = found.select(*DOC, F.inline(cut)).join(F.broadcast(shingles.drop("hs")), ["h", "said"])  # MAX_TEMPLATE_SHINGLES bounds these
     # A shingle at `pos` that stands at `at` in the template says that a match begins at pos - at; words added or left out move that by up to
     # `room`. Of two rows of bins, each twice as wide, one has all of a match in one bin.
     room = F.floor(F.col("total") * SLACK)

@@ -181,9 +181,33 @@ def test_op3(spark, sf_dir, texts):
     cut = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     templates = [(n, cut(word(t))) for n, ts in licenses.TEMPLATES.items() for t in ts]
     want = {(i, n) for i, t in texts for n, s in templates if len(s & cut(word(t))) >= 0.8 * len(s)}
+    for n, ts in licenses.NOTICES.items():
+        for phrase in (" ".join(word(t)) for t in ts):
+            want |= {(i, n) for i, t in texts if f" {phrase} " in f" {' '.join(word(t))} "}
     assert {(r.doc_id, r.license) for r in queries.op3_licenses(spark, sf_dir).collect()} == want
 
 
+def test_license_recall(spark):
+    """Made-up templates of 5 to 120 words with any edits, in random surroundings: what holds four in five of the shingles is found, and nothing else."""
+    r = np.random.default_rng(12)
+    some = lambda n: [f"v{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in r.integers(0, 17000, n)]
+    cut = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    templates = {f"L{k}": some(n) for k, n in enumerate([5, 6, 7, 8, 9, 12, 20, 40, 80, 120])}
+    docs, want = [], set()
+    for name, w in templates.items():
+        for _ in range(40):
+            edited = list(w)
+            for at in r.choice(len(w), r.integers(0, max(2, len(w) // 15)), replace=False):
+                edited[at] = some(1)[0] if r.random() < 0.7 else ""
+            text = [*some(30), *(x for x in edited if x), *some(30)]
+            if len(cut(text) & cut(w)) >= 0.8 * len(cut(w)):
+                want.add((len(docs), name))
+            docs.append((len(docs), " ".join(text)))
+    found = licenses.licenses(spark.createDataFrame(docs, "doc_id long, text string"), {k: [" ".join(w)] for k, w in templates.items()})
+    got = {(x.doc_id, x.license) for x in found.collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and 100 < len(want) < len(docs) - 50
+
+
 def test_license_places(spark):
     apache = licenses.TEMPLATES["Apache-2.0"][1].split()
     changed = " ".join([*apache[:12], "really", *apache[12:]])
