@@ -6,19 +6,23 @@ Each query goes through the engine: text to plan to DataFrame. Float sums are ex
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.types import infer_output_schema
+from .operators.custom import deduplicated
 from .operators.frames import events
 from .plans.compiler import Environment, compile_query
 from .plans.deployment import Windowing
 from .plans.query import parse
 from .sources import generators
+from .sources.folders import shared_folder
+from .sources.sinks import table_sink
 from .sources.tables import ReferenceTables, SessionTables
+from .streaming import live
 
 HOUR = Windowing("tumbling", 1, "hours", "count", 1, exact_scale=2)
 
@@ -48,7 +52,8 @@ def environment(spark: SparkSession, sf_dir: str, windowing: Windowing = HOUR) -
     customer, region = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "region")
     keyed = customer.withColumnRenamed("c_custkey", "user_id")
     clicks, buys = stream.filter("event_type = 'click'"), stream.filter("event_type = 'purchase'")
-    return Environment({"events": stream, "clicks": clicks, "purchases": buys}, {"customer": customer, "region": region, "accounts": keyed}, windowing)
+    streams = {"events": stream, "clicks": clicks, "purchases": buys, "sparse": stream.withColumn("event_type", F.expr("nullif(event_type, 'click')"))}
+    return Environment(streams, {"customer": customer, "region": region, "accounts": keyed}, windowing)
 
 
 _Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +77,37 @@ def _emitted(text: str, windowing: Windowing) -> _Query:
     return query
 
 
+LIVE_FILES = 3
+
+
+def _live(text: str, windowing: Windowing, *names: str) -> _Query:
+    """The rows that a live query writes to a table: the events as files, a file a micro-batch, until all are read."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+        raw = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+        second = F.unix_micros("ts")
+        cuts = raw.agg(F.percentile(second, [k / LIVE_FILES for k in range(1, LIVE_FILES)]).alias("cuts")).first()[0] or []
+        part = sum(((second > c).cast("int") for c in cuts), F.lit(0))
+        for k in range(LIVE_FILES):  # one after another: files are read in the order of their times
+            raw.filter(part == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        frame = live.arrived(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), "ts").drop("__tie0", "ts")
+        frame = frame.withColumn("__tie0", F.col("event_id"))
+        frames = {"events": frame, "clicks": frame.filter("event_type = 'click'"), "purchases": frame.filter("event_type = 'purchase'")}
+        run = live.start(spark, parse(text), Environment(frames, {}, windowing), table_sink(f"{root}/out"), f"{root}/checkpoint", trigger={"availableNow": True})
+        run.awaitTermination()
+        out = spark.read.parquet(f"{root}/out").drop("batch")
+        return out.toDF(*names) if names else out
+
+    return query
+
+
+def _own_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    env = environment(spark, sf_dir)
+    env.streams["events"] = deduplicated("user_id", "event_type")(env.streams["events"])
+    return compile_query("SELECT event_id, user_id, event_type, value FROM events WHERE value > 20", env)
+
+
 def _routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = environment(spark, sf_dir)
     queries = {"large": "SELECT event_id, value FROM events WHERE value > 50", "clicks": 'SELECT event_id, value FROM events WHERE event_type = "click"'}
@@ -80,8 +116,8 @@ def _routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> ReferenceTables:
-    """A reference table `nation` with the rows of the test table; on a cluster its folder is a shared one."""
-    tables = ReferenceTables(spark, tempfile.mkdtemp(prefix="streamloom-tables-"))
+    """A reference table `nation` with the rows of the test table."""
+    tables = ReferenceTables(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}")
     tables.create_table("nation", [("n_nationkey", "INT"), ("n_name", "STRING"), ("n_regionkey", "INT")])
     tables.append("nation", _table(spark, sf_dir, "nation"))
     return tables
@@ -197,6 +233,13 @@ QUERIES: dict[str, _Query] = {
     "join_then_agg": _renamed(
         _run("SELECT event_type, COUNT(event_id), AVG(value) FROM events INNER JOIN customer ON user_id = c_custkey WHERE c_acctbal > 0", FLUSH), "event_type", "n", "mean"
     ),
+    "agg_null_key": _renamed(_run("SELECT event_type, COUNT(value), MIN(value) FROM sparse", FLUSH), "event_type", "n", "least"),
+    "ss_self_join": _run("SELECT event_id, right_event_id FROM clicks INNER JOIN clicks ON user_id = user_id", SLIDE_COUNT),
+    "own_operator": _own_operator,
+    "live_filter_sink": _live("SELECT event_id, value FROM events WHERE value > 50", HOUR),
+    "live_tumbling": _live(AGGS, PER_WINDOW, *AGG_NAMES),
+    "live_early_fire": _live("SELECT event_type, COUNT(value), SUM(value) FROM events", EARLY, "event_type", "n", "total"),
+    "live_sliding_join": _live("SELECT event_id, right_event_id FROM clicks INNER JOIN purchases ON user_id = user_id", SLIDE_COUNT),
     "table_create_insert": _table_insert,
     "table_update": _table_update,
     "table_delete": _table_delete,
@@ -298,6 +341,17 @@ from p window g as (partition by event_type order by tseq rows between unbounded
     "st_join_collision": "select event_id, user_id, c_custkey as table_user_id, c_name from events join customer on user_id = c_custkey",
     "join_then_filter": "select event_id, c_mktsegment, c_acctbal from events join customer on user_id = c_custkey where c_acctbal > 1000",
     "join_then_agg": f"select event_type, count(event_id) as n, {_MEAN} as mean from events join customer on user_id = c_custkey where c_acctbal > 0 group by event_type",
+    "agg_null_key": _simple("nullif(event_type, 'click') as event_type, count(value) as n, min(value) as least", "group by 1"),
+    "ss_self_join": """select l.event_id, r.event_id as right_event_id from events l join events r on l.user_id = r.user_id
+and r.ts between l.ts - interval 1 hour and l.ts + interval 1 hour where l.event_type = 'click' and r.event_type = 'click'""",
+    "own_operator": "select event_id, user_id, event_type, value from (select * from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1) where value > 20",
+    "live_filter_sink": _simple("event_id, value", "where value > 50"),
+    "live_tumbling": f"{_B.format(size=3600000000, where='')} select event_type, {_AGGS} from b where w < (select max(w) from b) group by w, event_type",
+    "live_early_fire": f"""{_B.format(size=3600000000, where='')}, k as (select *, row_number() over (partition by w order by seq) as nth from b),
+e as (select k.w, {_FULL} as s, event_type, value from k where w < (select max(w) from k)
+      union all select t.w, t.seq, k.event_type, k.value from k join k t on t.w = k.w and t.nth % 5 = 0 and k.seq <= t.seq)
+select event_type, count(value) as n, {_SUM} as total from e group by w, s, event_type""",
+    "live_sliding_join": _sliding_join_sql("l.event_id, r.event_id as right_event_id", "="),
     "table_create_insert": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation union all select 100, 'ATLANTIS', null",
     "table_update": "select n_nationkey::bigint as n_nationkey, case when n_regionkey = 2 then 'SOMEWHERE' else n_name end as n_name, n_regionkey::bigint as n_regionkey from nation",
     "table_delete": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation where n_regionkey <> 3",
@@ -310,5 +364,38 @@ from p window g as (partition by event_type order by tseq rows between unbounded
 }
 
 
+def _draw_sql(seed: int) -> str:
+    return f"(('0x' || substr(md5('{100 + seed}-' || n::varchar), 1, 8))::bigint::double / 4294967296.0)"
+
+
+def _one_of_sql(seed: int, values) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[floor({_draw_sql(seed)} * {len(values)})::int + 1]"
+
+
+def _ranged_sql(column: str, ranges: dict, seed: int) -> str:
+    return "case " + "".join(f"when {column} = '{k}' then floor(({_draw_sql(seed)} * {high - low} + {low}) * 100) / 100 " for k, (low, high) in ranges.items()) + "end"
+
+
+def _whole_sql(seed: int, low: int, high: int) -> str:
+    return f"(floor({_draw_sql(seed)} * {high - low + 1})::bigint + {low})"
+
+
+def _stamp_sql(every: int) -> str:
+    return f"strftime(timestamp '2024-01-01' + to_seconds(n // {every}), '%Y-%m-%dT%H:%M:%S.%f') as timestamp"
+
+
+_NUMBERS, _G = "(select range as n from range(1000))", generators
+ORACLES |= {
+    "gen_pollution": f"""select timestamp, sensor_id, pollutant, {_ranged_sql('pollutant', _G.POLLUTANTS, 3)} as value
+from (select *, {_stamp_sql(1)}, {_one_of_sql(1, _G.SENSORS)} as sensor_id, {_one_of_sql(2, _G.POLLUTANTS)} as pollutant from {_NUMBERS})""",
+    "gen_weather": f"select {_stamp_sql(1)}, {_one_of_sql(1, _G.SENSORS)} as sensor_id, floor(({_draw_sql(2)} * 70 + 20) * 100) / 100 as humidity, {_one_of_sql(3, _G.ZONES)} as zone from {_NUMBERS}",
+    "gen_vehicle": f"""select timestamp, 'VH-' || {_whole_sql(1, 1000, 9999)}::varchar as vehicle_id, junction_id, {_ranged_sql('junction_id', _G.SPEEDS, 3)} as speed,
+{_one_of_sql(4, _G.VEHICLES)} as vehicle_type, {_whole_sql(5, 1, 4)} as lane from (select *, {_stamp_sql(1)}, {_one_of_sql(2, _G.SPEEDS)} as junction_id from {_NUMBERS})""",
+    "gen_signal": f"""select timestamp, junction_id, signal_phase, (case {' '.join(f"when signal_phase = '{k}' then {v}" for k, v in _G.PHASES.items())} end)::bigint as phase_duration,
+floor({_draw_sql(2)} * 5)::bigint + case when {_draw_sql(1)} < (case {' '.join(f"when junction_id = '{k}' then {a / (a + b)}::double" for k, (a, b) in _G.CONGESTION.items())} end) then 1 else 6 end as congestion_level
+from (select *, {_stamp_sql(5)}, 'J' || (n % 5 + 1)::varchar as junction_id, (['GREEN', 'YELLOW', 'RED'])[(n // 5) % 3 + 1] as signal_phase from {_NUMBERS})""",
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["win_tumbling_cumulative"](spark, sf_dir)

@@ -37,15 +37,6 @@ def declared(kind: T.DataType) -> str:
     return "STRING"
 
 
-def declared_from_text(kind: str) -> str:
-    """The declared name of a column type as a database spells it."""
-    kind = kind.upper()
-    for found, name in (("INT", "INT"), ("REAL", "FLOAT"), ("FLOA", "FLOAT"), ("DOUB", "FLOAT"), ("BOOL", "BOOLEAN"), ("TIME", "TIMESTAMP"), ("DATE", "TIMESTAMP")):
-        if found in kind:
-            return name
-    return "STRING"
-
-
 def merged(left: dict[str, str], right: dict[str, str], prefix: str) -> dict[str, str]:
     """Columns of a join: the left side wins a name, the right side's column takes the prefix."""
     return left | {(f"{prefix}{name}" if name in left else name): kind for name, kind in right.items()}

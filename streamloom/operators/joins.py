@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .frames import ARRIVAL, TIE, order, own, span
 
-#: Reference tables up to so many rows are broadcast; the count is taken, not guessed.
-BROADCAST_ROWS = 1_000_000
+#: Reference tables up to so many bytes (of their values, and 16 for each) are broadcast; they are counted, not guessed.
+BROADCAST_BYTES = 64 << 20
 
 
 def _keys(left: DataFrame, right: DataFrame, a: str, b: str, op: str) -> Column:
@@ -82,22 +82,37 @@ def sliding_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str, mic
     return _merged(joined, own(left), own(right), prefix, at, *_ties(left, right))
 
 
+def _bytes(table: DataFrame) -> int:
+    """Of all values, written out."""
+    each = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in table.columns]
+    return table.agg(F.sum(sum(each, F.lit(0)).cast("long"))).first()[0] or 0
+
+
 def table_join(stream: DataFrame, table: DataFrame, a: str, op: str, b: str, prefix: str = "table_", small: bool | None = None) -> DataFrame:
     """Each event with each row of the table that matches; the event's column is compared as the table's type. Null matches nothing.
 
-    A table is broadcast if it has BROADCAST_ROWS rows at most; for `=` a larger one is joined by shuffles.
+    A table of BROADCAST_BYTES at most is broadcast. A larger one is joined by shuffles: for `=` on the column, for `!=` in parts of that size, each of which
+    meets all events. The result of a `!=` join has nearly events times rows, whatever the plan.
     """
     kept = [c for c in stream.columns if c.startswith("__")]
     if a not in own(stream) or b not in table.columns:
         none = stream.crossJoin(table.limit(0).select(*(F.col(f"`{c}`").alias(f"__r_{c}") for c in table.columns)))
         names = [F.col(f"`{c}`") for c in own(stream)] + [F.col(f"`__r_{c}`").alias(f"{prefix}{c}" if c in own(stream) else c) for c in table.columns]
         return none.select(*names, *kept)
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS if small is None else small
+    size = 0 if small else _bytes(table)
+    small = size <= BROADCAST_BYTES if small is None else small
     right = table.select(*(F.col(f"`{c}`").alias(f"__r_{c}") for c in table.columns))
-    right = F.broadcast(right) if small else right
     key = F.col(f"`{a}`").try_cast(table.schema[b].dataType)
     other = F.col(f"`__r_{b}`")
-    joined = stream.join(right, key == other if op == "=" else key != other)
+    if small:
+        joined = stream.join(F.broadcast(right), key == other if op == "=" else key != other)
+    elif op == "=":
+        joined = stream.join(right, key == other)
+    else:
+        parts = max(2, -(-size // BROADCAST_BYTES))
+        left = stream.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+        right = right.withColumn("__r_part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)))
+        joined = left.join(right, (F.col("__part") == F.col("__r_part")) & (key != other)).drop("__part", "__r_part")
     names = [F.col(f"`{c}`") for c in own(stream)]
     names += [F.col(f"`__r_{c}`").alias(f"{prefix}{c}" if c in own(stream) else c) for c in table.columns]
     return joined.select(*names, *kept)

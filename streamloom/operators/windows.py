@@ -70,16 +70,22 @@ def triggers(df: DataFrame, w: Windowing, window: str | None = None, since: int
     return times.repartition(1).sortWithinPartitions("w", "s").mapInArrow(_scan(round(w.velocity * 1_000_000), since), "w long, a long, s long")
 
 
+def _whole(closed: DataFrame) -> DataFrame:
+    return closed.withColumn(EMIT, F.struct(F.col(WINDOW).alias("w"), F.lit(_FULL).alias("s")))
+
+
+def early(held: DataFrame, closed: DataFrame, w: Windowing, after: int = 0) -> DataFrame:
+    """Each window of `closed`, and what a window of `held` holds whenever the velocity fires in it, at events whose order is over `after`."""
+    t = triggers(held, w, WINDOW).filter(F.col("s") > after)
+    firings = held.join(t, (held[WINDOW] == t.w) & (held[SEQ] <= t.s)).withColumn(EMIT, F.struct("w", "s")).drop("w", "a", "s")
+    return _whole(closed).unionByName(firings).drop(WINDOW)
+
+
 def tumbling(df: DataFrame, w: Windowing) -> DataFrame:
     """Each closed window is an emission; with tumbling_velocity also what a window holds whenever the velocity fires in it."""
     windows = bucketed(df, w.micros)
     closed = windows if w.flush_last else _closed(windows)
-    full = closed.withColumn(EMIT, F.struct(F.col(WINDOW).alias("w"), F.lit(_FULL).alias("s")))
-    if not w.tumbling_velocity:
-        return full.drop(WINDOW)
-    t = triggers(windows, w, WINDOW)
-    early = windows.join(t, (windows[WINDOW] == t.w) & (windows[SEQ] <= t.s)).withColumn(EMIT, F.struct("w", "s")).drop("w", "a", "s")
-    return full.unionByName(early).drop(WINDOW)
+    return early(windows, closed, w) if w.tumbling_velocity else _whole(closed).drop(WINDOW)
 
 
 def sliding(df: DataFrame, w: Windowing, fired: DataFrame | None = None) -> DataFrame:

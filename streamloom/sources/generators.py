@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _drawn(seed: int) -> Column:
+    """A number from 0 up to 1 for the row's running number: the same in each run, on any cluster."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("__n").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / (1 << 32)
+
+
 def _one_of(seed: int, *values) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (F.floor(F.rand(seed) * len(values)) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (F.floor(_drawn(seed) * len(values)) + 1).cast("int"))
 
 
-def _between(seed: int, low: float, high: float, scale: int = 2) -> Column:
-    return F.round(F.rand(seed) * (high - low) + low, scale)
+def _between(seed: int, low: float, high: float) -> Column:
+    """With two decimals."""
+    return F.floor((_drawn(seed) * (high - low) + low) * 100) / 100
 
 
 def _whole(seed: int, low: int, high: int) -> Column:
-    return F.floor(F.rand(seed) * (high - low + 1) + low).cast("long")
-
+    return (F.floor(_drawn(seed) * (high - low + 1)) + low).cast("long")
 
 
 # The names and ranges that the simulated sensors report.
@@ -34,27 +39,29 @@ def _ranged(name: Column, ranges: dict[str, tuple[float, float]], seed: int) ->
     """A number in the range that goes with `name`."""
     found = F.lit(None).cast("double")
     for k, (low, high) in ranges.items():
-        found = F.when(name == k, F.rand(seed) * (high - low) + low).otherwise(found)
-    return F.round(found, 2)
+        found = F.when(name == k, _between(seed, low, high)).otherwise(found)
+    return found
 
 
 def events_of(rows: DataFrame, kind: str, seed: int = 0) -> DataFrame:
     """Events for rows (timestamp, value): the time, and a running number."""
-    s, stamp = seed * 100, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
-    junction = F.concat(F.lit("J"), (F.col("value") % 5 + 1).cast("string"))
+    s, n = seed * 100, F.col("value").alias("__n")
+    rows = rows.select(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), n)
+    stamp = F.col("timestamp")
+    junction = F.concat(F.lit("J"), (F.col("__n") % 5 + 1).cast("string"))
     if kind == "pollution":
-        drawn = rows.select(stamp, _one_of(s + 1, *SENSORS).alias("sensor_id"), _one_of(s + 2, *POLLUTANTS).alias("pollutant"))
-        return drawn.withColumn("value", _ranged(F.col("pollutant"), POLLUTANTS, s + 3))
+        drawn = rows.select("*", _one_of(s + 1, *SENSORS).alias("sensor_id"), _one_of(s + 2, *POLLUTANTS).alias("pollutant"))
+        return drawn.withColumn("value", _ranged(F.col("pollutant"), POLLUTANTS, s + 3)).drop("__n")
     if kind == "weather":
         return rows.select(stamp, _one_of(s + 1, *SENSORS).alias("sensor_id"), _between(s + 2, 20, 90).alias("humidity"), _one_of(s + 3, *ZONES).alias("zone"))
     if kind == "vehicle":
-        drawn = rows.select(stamp, F.concat(F.lit("VH-"), _whole(s + 1, 1000, 9999).cast("string")).alias("vehicle_id"), _one_of(s + 2, *SPEEDS).alias("junction_id"))
-        return drawn.withColumns({"speed": _ranged(F.col("junction_id"), SPEEDS, s + 3), "vehicle_type": _one_of(s + 4, *VEHICLES), "lane": _whole(s + 5, 1, 4)})
+        drawn = rows.select("*", F.concat(F.lit("VH-"), _whole(s + 1, 1000, 9999).cast("string")).alias("vehicle_id"), _one_of(s + 2, *SPEEDS).alias("junction_id"))
+        return drawn.withColumns({"speed": _ranged(F.col("junction_id"), SPEEDS, s + 3), "vehicle_type": _one_of(s + 4, *VEHICLES), "lane": _whole(s + 5, 1, 4)}).drop("__n")
     if kind == "signal":
         # five junctions step through the phases, one event each a round
         phases = list(PHASES)
-        turn = F.element_at(F.array(*map(F.lit, phases)), (F.floor(F.col("value") / 5) % 3 + 1).cast("int"))
-        drawn = rows.select(stamp, junction.alias("junction_id"), turn.alias("signal_phase"), F.rand(s + 1).alias("__r"), F.rand(s + 2).alias("__q"))
+        turn = F.element_at(F.array(*map(F.lit, phases)), (F.floor(F.col("__n") / 5) % 3 + 1).cast("int"))
+        drawn = rows.select(stamp, junction.alias("junction_id"), turn.alias("signal_phase"), _drawn(s + 1).alias("__r"), _drawn(s + 2).alias("__q"))
         lasts, low = F.lit(None).cast("long"), F.lit(None).cast("double")
         for k, n in PHASES.items():
             lasts = F.when(F.col("signal_phase") == k, F.lit(n).cast("long")).otherwise(lasts)

@@ -35,7 +35,7 @@ class KafkaSettings:
         return {"kafka.bootstrap.servers": self.broker, "startingOffsets": "latest", "kafka.session.timeout.ms": "30000", "failOnDataLoss": "false"} | own
 
     def describe(self) -> str:
-        return f"In-Memory (ephemeral) - Retention: {EPHEMERAL['log.retention.ms']}ms"
+        return f"ephemeral topics: messages are kept for {EPHEMERAL['log.retention.ms']} ms"
 
 
 _default = KafkaSettings()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections import Counter
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -14,20 +14,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.types import struct
 from ..operators.frames import ARRIVAL, EMIT, TIE
-from ..plans.compiler import Environment, compile_query, inputs
+from ..plans.compiler import Environment, inputs
 from ..plans.deployment import Continuous, Deployment, DeploymentError, Stream
 from ..plans.query import Create, QueryError, Select, parse_all
+from ..sources.folders import shared_folder
+from ..sources.sinks import table_sink
 from ..sources.tables import ReferenceTables
 from . import live
 
+Operator = Callable[[DataFrame], DataFrame]
+
 
 class Engine:
-    """One deployment. Events pushed to it are kept and queries are compiled over them; live sources run as streaming queries."""
+    """One deployment. Events pushed to it wait for the next micro-batch, which `drain` or `results` runs; live sources run as streaming queries.
+
+    The driver holds the events of one micro-batch. What queries remember, and the rows that they have given out, are tables in `folder`.
+    """
 
-    def __init__(self, spark: SparkSession, deployment: Deployment, tables: ReferenceTables | None = None, clock: Callable[[], float] = time.time):
+    def __init__(self, spark: SparkSession, deployment: Deployment, tables: ReferenceTables | None = None, clock: Callable[[], float] = time.time, folder: str | None = None):
         self.spark, self.deployment, self.tables, self.clock = spark, deployment, tables, clock
+        self._folder = folder
         self._events: dict[str, list[tuple]] = {n: [] for n in deployment.inputs}
-        self._given: dict[str, Counter] = {}
+        self._operators: dict[str, list[Operator]] = {}
+        self._batch, self._drained = 0, 0
         self._sinks: dict[str, Callable[[dict[str, Any]], None]] = {}
         self._live: dict[str, StreamingQuery] = {}
         self._n = 0
@@ -50,10 +59,8 @@ class Engine:
         if not plan or isinstance(plan[0], Create):
             raise QueryError(f"query {query.name!r}: only SELECT can be deployed")
         select = plan[0]
-        if select.source not in self.deployment.inputs:
+        if select.source not in self.deployment.inputs:  # FROM says what a query reads; its input_stream need only be declared
             raise QueryError(f"query {query.name!r} reads {select.source!r}, which is no input stream")
-        if select.source != query.input_stream:
-            raise QueryError(f"query {query.name!r} reads {select.source!r}, its input stream is {query.input_stream!r}")
         if select.join and select.join.target not in self.deployment.inputs and (self.tables is None or select.join.target not in self.tables.list_tables()):
             raise QueryError(f"query {query.name!r} joins {select.join.target!r}, which is neither a stream nor a table")
         self.plans[query.name] = select
@@ -88,6 +95,26 @@ class Engine:
             self.deployment.queries.remove(query)
             raise
 
+    def define(self, text: str) -> list[str]:
+        """Run CREATE statements: a stream becomes an input (its topic is option `topic`, or its name), a table one of the store. Their names."""
+        made = parse_all(text)
+        if not all(isinstance(c, Create) for c in made):
+            raise QueryError("only CREATE can define a stream or a table")
+        if self.tables is None and any(c.kind == "TABLE" for c in made):
+            raise DeploymentError("tables need a table store")
+        for c in made:
+            if c.kind == "STREAM":
+                self.add_input(Stream(c.name, c.options.get("topic", c.name), dict(c.columns)))
+            else:
+                self.tables.create_table(c.name, list(c.columns))
+        return [c.name for c in made]
+
+    def add_operator(self, stream: str, operator: Operator) -> None:
+        """Put an operator of one's own between a stream and all queries that read it: a function of event frames, which keeps the columns that begin with two underscores."""
+        if stream not in self._events:
+            raise ValueError(f"no stream is named {stream!r}")
+        self._operators.setdefault(stream, []).append(operator)
+
     # pushed events
 
     def process_event(self, stream: str, event: dict[str, Any]) -> list[str]:
@@ -99,49 +126,69 @@ class Engine:
         self._events[stream].append((round(self.clock() * 1_000_000), self._n, *(_fitted(event.get(f.name), f.dataType) for f in kinds)))
         return [name for name, plan in self.plans.items() if stream in inputs(plan, self.deployment.inputs)]
 
-    def _environment(self) -> Environment:
+    def _through(self, stream: str, frame: DataFrame) -> DataFrame:
+        for operator in self._operators.get(stream, []):
+            frame = operator(frame)
+        return frame
+
+    def _frames(self) -> dict[str, DataFrame]:
         head = [T.StructField(ARRIVAL, T.LongType()), T.StructField(f"{TIE}0", T.LongType())]
-        frames = {
-            name: self.spark.createDataFrame(rows, T.StructType(head + struct(self.deployment.inputs[name].columns).fields)) for name, rows in self._events.items()
-        }
-        return Environment(frames, self._tables(), self.deployment.windowing)
+        kinds = {name: T.StructType(head + struct(self.deployment.inputs[name].columns).fields) for name in self._events}
+        return {name: self._through(name, self.spark.createDataFrame(rows, kinds[name])) for name, rows in self._events.items()}
 
     def _tables(self) -> dict[str, Callable[[], DataFrame]]:
         return {t: (lambda t=t: self.tables.frame(t)) for t in self.tables.list_tables()} if self.tables else {}
 
+    def _rows(self, query: str) -> str:
+        return f"{self._folder}/{query}/rows"
+
+    def _advance(self) -> None:
+        """Run the events that wait as a micro-batch."""
+        if not any(self._events.values()):
+            return
+        self._folder = self._folder or f"{shared_folder(self.spark)}/engine-{uuid.uuid4().hex}"
+        env = Environment(self._frames(), self._tables(), self.deployment.windowing)
+        for name, plan in self.plans.items():
+            reads = inputs(plan, env.streams)
+            if any(self._events[n] for n in reads):
+                state = live.State(self.spark, f"{self._folder}/{name}/state")
+                live.Live(self.spark, plan, env, table_sink(self._rows(name)), state, keep=True).run({n: env.streams[n] for n in reads}, self._batch)
+        self._events = {n: [] for n in self._events}
+        self._batch += 1
+
+    def _given(self, query: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._rows(query))
+        there = self._folder and path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(self._rows(query)) if there else None
+
     def results(self, query: str) -> DataFrame:
-        """All rows that the query has given out for the events so far."""
-        return compile_query(self.plans[query], self._environment())
+        """All rows that the query has given out for the events so far; no columns as long as there were no events."""
+        self._advance()
+        found = self._given(query)
+        return self.spark.createDataFrame([], T.StructType([])) if found is None else found.drop(EMIT, "batch")
 
     def on_result(self, query: str, callback: Callable[[dict[str, Any]], None]) -> None:
         self._sinks[query] = callback
 
     def drain(self) -> dict[str, list[dict[str, Any]]]:
         """Rows that were given out since the last call, by query, in order; they go to the callbacks as well. Null fields are left out."""
+        self._advance()
         out: dict[str, list[dict[str, Any]]] = {}
-        env = self._environment()
-        for name, plan in self.plans.items():
-            found = compile_query(plan, env, keep_emit=True)
-            rows = [({k: v for k, v in r.asDict().items() if k != EMIT and v is not None}, tuple(r[EMIT])) for r in found.orderBy(EMIT).collect()]
-            given = self._given.setdefault(name, Counter())
-            now: Counter = Counter()
-            out[name] = []
-            for row, emit in rows:
-                key = (json.dumps(row, sort_keys=True, default=str), emit)
-                now[key] += 1
-                if now[key] > given[key]:
-                    out[name].append(row)
-            self._given[name] = now
+        for name in self.plans:
+            found = self._given(name) if self._batch > self._drained else None
+            rows = [] if found is None else found.filter(f"batch >= {self._drained}").orderBy("batch", EMIT).collect()
+            out[name] = [{k: v for k, v in r.asDict().items() if k not in (EMIT, "batch") and v is not None} for r in rows]
             for row in out[name]:
                 if name in self._sinks:
                     self._sinks[name](row)
+        self._drained = self._batch
         return out
 
     # live sources
 
     def start(self, query: str, sources: dict[str, DataFrame], sink: live.Sink, checkpoint: str, arrival: str | None = None, trigger: dict | None = None) -> StreamingQuery:
         """Run a query over streaming frames, by stream; `arrival` names the column that says when an event came, else it is the time of the micro-batch. Tables are read anew for each micro-batch."""
-        env = Environment({n: live.arrived(f, arrival) for n, f in sources.items()}, self._tables(), self.deployment.windowing)
+        env = Environment({n: self._through(n, live.arrived(f, arrival)) for n, f in sources.items()}, self._tables(), self.deployment.windowing)
         self._live[query] = live.start(self.spark, self.plans[query], env, sink, f"{checkpoint}/{self.deployment.name}/{query}", query, trigger)
         return self._live[query]
 
@@ -158,7 +205,8 @@ def _fitted(value: Any, kind: T.DataType) -> Any:
     if isinstance(kind, T.DoubleType):
         return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
     if isinstance(kind, T.LongType):
-        return value if isinstance(value, int) and not isinstance(value, bool) else None
+        whole = isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
+        return int(value) if whole else None
     if isinstance(kind, T.BooleanType):
         return value if isinstance(value, bool) else None
     return value if isinstance(value, str) or value is None else json.dumps(value) if isinstance(value, (dict, list)) else str(value)

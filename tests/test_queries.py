@@ -25,9 +25,8 @@ def test_sql(spark, sf_dir, name):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_generators_have_rows(spark, sf_dir):
-    for name in set(catalog.QUERIES) - set(catalog.ORACLES):
-        assert catalog.QUERIES[name](spark, sf_dir).count() == 1000
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry(spark):
