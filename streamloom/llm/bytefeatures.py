@@ -73,9 +73,3 @@ def gram_values(part: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tu
     for n in range(1, most + 1):
         value[: len(part) - n + 1] |= part[n - 1 :].astype(np.uint32) << np.uint32(8 * (n - 1))
         yield value, left >= n
-
-
-def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sum over each text's bytes."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytefeatures import chunks, gram_values, sums
+from .bytefeatures import chunks, gram_values
 from .common import held_out, materialize
 
 #: Families of closely related languages, by ISO 639-1 code; a language that is in none is a family of its own.
@@ -32,6 +32,8 @@ GRAMS = 3
 #: Labelled rows the machines learn from, at most: an equal share of each language, those with the least hash of their id.
 SAMPLE_ROWS = 8000
 STEPS = 200
+#: Texts whose frequencies are held at once.
+ROWS = 256
 RIDGE = 1e-3
 UNDETERMINED = "und"
 
@@ -155,19 +157,19 @@ def _choose(names: list[str], margins: dict[tuple[str, str], np.ndarray], n: int
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        tables = [(a, b, w, bias) for a, b, w, bias in model["machines"]] if model else []
+        machines = model["machines"] if model else []
+        weights = np.array([w for _, _, w, _ in machines]).reshape(len(machines), FEATURES).T
         families = sorted(model["members"]) if model else []
         for b in batches:
             lang, score = np.full(b.num_rows, UNDETERMINED, object), np.zeros(b.num_rows)
             letters = np.array([bool(t and _LETTER.search(t)) for t in b.column(1).to_pylist()], bool)
             for first, part, offsets in chunks(b.column(1)) if model else ():
                 n = len(offsets) - 1
-                total = [np.zeros(n) for _ in tables]
-                for bins, whole in _bins(part, offsets):
-                    for k, (_, _, w, _) in enumerate(tables):
-                        total[k] += sums(np.where(whole, w[bins], 0), offsets)
-                size = np.maximum(1, np.diff(offsets))
-                margins = {(x, y): total[k] / size + bias for k, (x, y, _, bias) in enumerate(tables)}
+                total = np.empty((n, len(machines)))
+                for at in range(0, n, ROWS):  # a row of frequencies a text, whatever the number of machines
+                    to = min(n, at + ROWS)
+                    total[at:to] = frequencies(part[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]) @ weights
+                margins = {(x, y): total[:, k] + bias for k, (x, y, _, bias) in enumerate(machines)}
                 which, sure = _choose([f"family:{f}" for f in families], margins, n)
                 for k, f in enumerate(families):
                     rows = np.nonzero(which == k)[0]

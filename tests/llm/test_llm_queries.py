@@ -224,6 +224,45 @@ def test_op4(spark):
     assert (df.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in df.doc_id]).all()
 
 
+def folded(text):
+    """A-Z and the Latin-1 letters in lower case, in UTF-8."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text).encode()
+
+
+def test_op4_is_its_twin(spark, sf_dir, texts):
+    """Frequencies, margins and votes in plain Python, with the machines that were learnt."""
+    import math
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs)
+    assert sum(len(m) for m in model["members"].values()) == 4
+
+    def vote(names, margin):
+        votes, sure = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for k, a in enumerate(names):
+            for b in names[k + 1 :]:
+                p = 1 / (1 + math.exp(-max(-35, min(35, 2 * margin[a, b]))))
+                votes[a if p > 0.5 else b] += 1
+                sure[a] += p
+                sure[b] += 1 - p
+        best = max(names, key=lambda x: (votes[x] * (len(names) + 1) + sure[x], -names.index(x)))
+        return best, sure[best] / (len(names) - 1) if len(names) > 1 else 1.0
+
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, t in texts:
+        data, counts = folded(t), {}
+        for n in (1, 2, 3):
+            for k in range(len(data) - n + 1):
+                b = ((int.from_bytes(data[k : k + n], "little") + n) * 0x9E3779B1 & 0xFFFFFFFF) >> 20
+                counts[b] = counts.get(b, 0) + 1
+        margin = {(a, b): sum(w[x] * c for x, c in counts.items()) / max(1, len(data)) + bias for a, b, w, bias in model["machines"]}
+        families = sorted(model["members"])
+        f, p = vote([f"family:{x}" for x in families], margin)
+        lang, q = vote(model["members"][f.split(":")[1]], margin)
+        want = (lang, p * q) if any(c.isalpha() for c in t) else ("und", 0.0)
+        assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-4
+
+
 def test_letters(spark):
     """Numbers and signs that are not letters do not make a text of a language."""
     rows = [(1, "²½ ³"), (2, "①②"), (3, "123 _ !"), (4, "ª"), (5, "漢"), (6, "x")]
@@ -245,6 +284,60 @@ def test_op5(spark):
     assert ((df.score >= 0.3) == (df.predicted == 1)).all()
 
 
+def test_op5_is_its_twin(spark, sf_dir, texts):
+    """Features by plain Python integers, FTRL on dictionaries, and the scores of all texts."""
+    import math
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    byte = [mix((k + 1) * 0x9E3779B97F4A7C15 & full) for k in range(256)]
+    power = [mix((k + 1) * 0x94D049BB133111EB & full) | 1 for k in range(256)]
+    hashed = lambda w: mix(sum(byte[b] * power[k & 255] for k, b in enumerate(w)) & full)
+
+    def features(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", folded(text))
+        h, out = [hashed(w) for w in words], set()
+        for w, x in zip(words, h):
+            out.add(mix(x ^ int(toxicity._SALTS[0])))
+            out |= {mix(hashed(w[:n]) ^ int(salt)) for n, salt in zip(toxicity.STEMS, toxicity._STEM_SALTS)}
+        for gap in (1, 2, 3):
+            out |= {mix((a * int(toxicity._SALTS[gap]) + b) & full) for a, b in zip(h, h[gap:])}
+        return {x & (toxicity.FEATURES - 1) for x in out}
+
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(k):
+        x = z.get(k, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    docs = dict(texts)
+    labels = {r.doc_id: int(r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in docs}
+    signed = lambda i: (xxhash.xxh64_intdigest(struct.pack("<q", i), 42) + 2**63) % 2**64 - 2**63
+    rows = [(features(docs[i]), labels[i]) for i in sorted(labels, key=lambda i: (signed(i), i))]
+    for _ in range(toxicity.EPOCHS):
+        for found, label in rows:
+            w, b = {k: weight(k) for k in found}, -zb / ((beta + math.sqrt(nb)) / alpha)
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + b)))) - label
+            for k in found:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[k]
+                n[k] = old + g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * b
+            nb += g * g
+    learnt, bias = {k: x for k in z if (x := weight(k))}, -zb / ((beta + math.sqrt(nb)) / alpha)
+    got = {r.doc_id: r.score for r in queries.op5_toxicity(spark, sf_dir).collect()}
+    for i, t in texts:
+        total = bias + sum(learnt.get(k, 0.0) for k in features(t))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-35, min(35, total))))) < 1e-6
+    assert learnt
+
+
 def test_toxicity_learns():
     part = lambda words: np.frombuffer(words.encode(), np.uint8)
     one = lambda words: np.unique(toxicity.features(part(words), np.array([0, len(words)]))[0])
