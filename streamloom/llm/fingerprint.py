@@ -68,7 +68,10 @@ def collisions(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text
     compared with their own document's only.
     """
     shared = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    keys = materialize(digests.select("doc_id", "key", "digest").join(shared, "digest", "left_semi").select("doc_id", "key"), "shared")
+    shared = materialize(shared, "shared")
+    # the map lets a few others through, which are alone in their buckets below
+    keys = materialize(split_by_keys(digests.select("doc_id", "key", "digest"), shared, ["digest"])[0].select("doc_id", "key"), "keys")
+    discard(shared)
     some = split_by_keys(_rows(docs, id_col, text_col), keys, ["doc_id", "key"])[0]
     canons = some.mapInArrow(_digest_batches(True), "doc_id long, key long, digest string, canon binary")
     mixed = canons.groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("z")).filter("a != z").select("digest")

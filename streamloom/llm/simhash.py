@@ -230,6 +230,7 @@ def first_of_components(docs: DataFrame, found: DataFrame, id_col: str = "doc_id
     """The rows of `docs` that come first in their component; `found` has (doc_id, key, component) per row of `docs`."""
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
     first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("component", "first")
+    first = materialize(first, "first")  # so that the join below is of two plain exchanges, of which Spark can split a large component's
     pairs = found.join(first, "component").select("doc_id", "key", (order != F.col("first")).alias("late"))
     gone = pairs.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.every("late").alias("late")).filter("late or n > 1")
     return without_keys(docs, materialize(gone.select("doc_id", "key", (~F.col("late")).alias("one")), "late"), id_col, text_col)
