@@ -24,11 +24,11 @@ EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 16.0, 0.5
 THRESHOLD = 0.3
 #: Bytes of a word that stand for all words that begin with them.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 _SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
-_STEM_SALTS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
+_STEM_SALTS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0x2127599BF4325C37, 0x880355F21E6D1965)]
 
 
 def features(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
