@@ -25,6 +25,8 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 16.0, 0.5
 THRESHOLD = 0.3
 #: Bytes of a word that stand for all words that begin with them.
 STEMS = (4, 5, 6, 7, 8)
+#: A feature that occurs so often in a text, or more, counts as a further one.
+TIMES = (2, 4)
 
 _SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -45,6 +47,21 @@ def features(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(found) & np.uint64(FEATURES - 1)).astype(np.int64), np.concatenate(of)
 
 
+def level(idx: np.ndarray, times: int) -> np.ndarray:
+    """The features that stand for features that occur `times` times or more."""
+    return (mixed(idx.astype(np.uint64) * _SALTS[0] + np.uint64(times)) & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def with_levels(idx: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Different pairs, as text number * FEATURES + feature, of features with repeats: each, and one more for each of TIMES that it reaches in its text."""
+    both, n = np.unique(doc * FEATURES + idx, return_counts=True)
+    found = [both]
+    for times in TIMES:
+        often = both[n >= times]
+        found.append(often // FEATURES * FEATURES + level(often % FEATURES, times))
+    return np.unique(np.concatenate(found))
+
+
 def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(weights, bias) from (different features, label) of each text, in the order given.
 
@@ -81,7 +98,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = b.column(1).to_numpy(zero_copy_only=False)
         for first, part, offsets in chunks(b.column(0)):
             idx, doc = features(part, offsets)
-            both = np.unique(doc * FEATURES + idx)
+            both = with_levels(idx, doc)
             cuts = np.searchsorted(both, np.arange(len(offsets)) * FEATURES)
             rows += [((both[a:z] % FEATURES).astype(np.int32), int(labels[first + k])) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
     weights, bias = fit(rows)
@@ -112,23 +129,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return {"idx": np.frombuffer(model.idx, "<i4"), "weight": np.frombuffer(model.weight, "<f8"), "bias": model.bias}
 
 
-def dense(model: dict) -> np.ndarray:
-    """All weights; made once for each model that arrives at a worker."""
+def dense(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """All weights, and which features count in themselves or if they are repeated; made once for each model that arrives at a worker."""
     if "dense" not in model:
-        model["dense"] = np.zeros(FEATURES)
-        model["dense"][model["idx"]] = model["weight"]
+        weights = np.zeros(FEATURES)
+        weights[model["idx"]] = model["weight"]
+        every = np.arange(FEATURES)
+        model["dense"] = weights, np.logical_or.reduce([weights != 0, *(weights[level(every, t)] != 0 for t in TIMES)])
     return model["dense"]
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weights = shared.value, dense(shared.value)
+        model, (weights, watched) = shared.value, dense(shared.value)
         for b in batches:
             total = np.full(b.num_rows, model["bias"])
             for first, part, offsets in chunks(b.column(b.num_columns - 1)):
                 idx, doc = features(part, offsets)
-                used = weights[idx] != 0
-                both = np.unique(doc[used] * FEATURES + idx[used])
+                used = watched[idx]
+                both = with_levels(idx[used], doc[used])
                 np.add.at(total, first + both // FEATURES, weights[both % FEATURES])
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "score"])

@@ -4,6 +4,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -301,13 +302,14 @@ def test_op5_is_its_twin(spark, sf_dir, texts):
 
     def features(text):
         words = re.findall(rb"[0-9a-z\x80-\xff]+", folded(text))
-        h, out = [hashed(w) for w in words], set()
+        h, out, last = [hashed(w) for w in words], [], toxicity.FEATURES - 1
         for w, x in zip(words, h):
-            out.add(mix(x ^ int(toxicity._SALTS[0])))
-            out |= {mix(hashed(w[:n]) ^ int(salt)) for n, salt in zip(toxicity.STEMS, toxicity._STEM_SALTS)}
+            out.append(mix(x ^ int(toxicity._SALTS[0])))
+            out += [mix(hashed(w[:n]) ^ int(salt)) for n, salt in zip(toxicity.STEMS, toxicity._STEM_SALTS)]
         for gap in (1, 2, 3):
-            out |= {mix((a * int(toxicity._SALTS[gap]) + b) & full) for a, b in zip(h, h[gap:])}
-        return {x & (toxicity.FEATURES - 1) for x in out}
+            out += [mix((a * int(toxicity._SALTS[gap]) + b) & full) for a, b in zip(h, h[gap:])]
+        n = Counter(x & last for x in out)
+        return set(n) | {mix((x * int(toxicity._SALTS[0]) + t) & full) & last for t in (2, 4) for x, c in n.items() if c >= t}
 
     z, n, zb, nb = {}, {}, 0.0, 0.0
     alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
