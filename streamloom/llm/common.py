@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: `spark.checkpoint.dir`, or where that is unset (tests) a temporary one."""
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`, or where that is unset and all runs in one machine (tests) a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="streamloom-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

@@ -1,10 +1,12 @@
 """Every operator and stage over nulls, empty and long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from streamloom.llm import decontam, fingerprint, langid, licenses, linededup, mixing, pii, queries, simhash, tokenids, toxicity
+from streamloom.llm import common, decontam, fingerprint, langid, licenses, linededup, mixing, pii, queries, simhash, tokenids, toxicity
 
 LONG = "long words here and there " * 20_000
 ROWS = [
@@ -159,3 +161,9 @@ def test_stages(spark, docs, empty, tmp_path):
             stage(spark, now, str(tmp_path)).write.parquet(path)
             now = spark.read.schema(now.schema if k < 4 else "doc_id long, start long, n_tokens long, ids_crc32 long").parquet(path)
             assert k == 4 or now.columns == docs.columns
+
+
+def test_no_local_folder_on_a_cluster():
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_root(SimpleNamespace(conf={}, sparkContext=context))
