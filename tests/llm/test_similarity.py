@@ -159,3 +159,33 @@ def test_short_lines_with_one_changed_word(spark):
     lines = [*base, *near, "a line of its own"]
     cut = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
     assert len(alike(cut)) == 3 and kept_lines(spark, lines) == firsts(len(lines), alike(cut))
+
+
+def test_op7_is_native(spark, monkeypatch):
+    """No Python on the executors; and a very long line costs no more a character than others."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    long = " ".join(f"w{k * 7919 % 100003}" for k in range(40_000))
+    assert kept_lines(spark, [long, "a line of its own", long.replace("w7919 ", "x "), "A  line\tof its own "]) == [0, 1]
+
+
+def test_native_recall_by_set_size(spark):
+    """Of pairs of lines of n and n / 0.8 shingles, one in the other, nearly all share a bucket and have sketches that are near."""
+    r = np.random.default_rng(11)
+    rows, sizes = [], (4, 8, 16, 24, 40, 100, 400)
+    for n in sizes:
+        for k in range(400):
+            whole = "".join(map(chr, r.integers(0x4E00, 0x9FFF, n * 5 // 4 + 4)))
+            rows += [(n, k, 0, whole), (n, k, 1, whole[: n + 4])]
+    df = spark.createDataFrame(rows, "n int, k int, side int, text string")
+    found = {(x.n, x.k, x.side): x for x in linededup.signed(df, ["n", "k", "side"]).collect()}
+    for n in sizes:
+        pairs = [(found[n, k, 0], found[n, k, 1]) for k in range(400)]
+        shared = np.mean([any(a is not None and a == b for a, b in zip(x["keys"], y["keys"])) for x, y in pairs])
+        near = np.mean([((x.sketch ^ y.sketch) & (2**64 - 1)).bit_count() <= setjoin.APART for x, y in pairs])
+        assert shared >= 0.98 and near >= 0.995
